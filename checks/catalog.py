@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks import oracle
+from checks import oracle, oracle_stats
 from quitanda.functions.semantics import round_double
-from quitanda.operators import cohort, funnel, geo, quality, reviews, rfm, season
+from quitanda.operators import clustering, cohort, funnel, geo, prediction, quality, reviews, rfm, season, stats
+from quitanda.operators.base import Tables
 from quitanda.sources.adapters import StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,101 @@ def _rounded(query: Query, *columns: str) -> Query:
     return run
 
 
+# Row counts to check drift against: those of the smallest correctness scale, two of them changed.
+EXPECTED_ROWS = {"customers": 1_500, "orders": 15_000, "order_items": 58_000, "products": 2_010, "sellers": 100}
+
+# Columns that identify a row of the delay features well enough to draw a sample by.
+SPLIT_KEYS = ("order_id", "preco", "frete", "peso_g", "distancia_estimada_dias", "atraso")
+
+
+def _price_samples(spark: SparkSession, folder: str) -> DataFrame:
+    orders = StarTables(spark, folder).raw("orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    return stats.labeled_samples(orders, F.col("o_totalprice"), F.col("o_orderstatus") == "F")
+
+
+def _described(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.describe_test_result(stats.welch_t_test(_price_samples(spark, folder)), "Valor difere por status")
+
+
+def _pearson(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.pearson(StarTables(spark, folder).order_items(), F.col("price"), F.col("freight_value"))
+
+
+def _chi_square(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.chi_square(StarTables(spark, folder).raw("orders"), "o_orderstatus", "o_orderpriority")
+
+
+def _standardized(spark: SparkSession, folder: str) -> DataFrame:
+    people = rfm.customer_metrics(StarTables(spark, folder).tables(False, False))
+    return clustering.standardize(people).select("customer_unique_id", *(f"{m}_z" for m in rfm.MEASURES))
+
+
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    return prediction.delay_features(StarTables(spark, folder).tables(True, False))
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    return prediction.prepare_training(_features(spark, folder), keys=SPLIT_KEYS)
+
+
+def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation of a plain rule: expensive items are late."""
+    price = F.col("preco")
+    return prediction.evaluate_classifier(
+        _features(spark, folder).select(
+            F.col("atraso").alias("label"),
+            (price > 50000).cast("int").alias("predicted"),
+            price.cast("double").alias("probability"),
+        )
+    )
+
+
+def _costly_orders(tables: Tables) -> DataFrame:
+    found = stats.outliers_zscore(stats.order_values(tables), "order_id", "valor_pedido")
+    return found.withColumn("valor", F.col("valor").cast("decimal(38,4)"))
+
+
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    return rfm.rfm_scores(StarTables(spark, folder).tables(False, False))
+
+
+def _elbow(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(pa.Table.from_pylist(clustering.kmeans_elbow(_people(spark, folder))))
+
+
+def _silhouette(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(pa.Table.from_pylist(clustering.kmeans_silhouette(_people(spark, folder))))
+
+
+def _kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = clustering.feature_vectors(_people(spark, folder))
+    with clustering.kept(vectors):
+        model = clustering.fit_kmeans(vectors, 4)
+    return model.transform(vectors).select("customer_unique_id", *rfm.MEASURES, clustering.CLUSTER)
+
+
+def _clustered(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(_people(spark, folder)).assigned.select(
+        "customer_unique_id", *rfm.MEASURES, "segmento", clustering.CLUSTER
+    )
+
+
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster_profiles(_kmeans(spark, folder))
+
+
+def _trained(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients of the logistic model on the training part."""
+    split = _split(spark, folder)
+    model = prediction.train_delay_model(split.filter(~F.col("em_teste"))).stages[-1]
+    rows = [{"feature": f, "coefficient": float(c)} for f, c in zip(prediction.FEATURES, model.coefficients, strict=True)]
+    return spark.createDataFrame(pa.Table.from_pylist([*rows, {"feature": "intercept", "coefficient": model.intercept}]))
+
+
+def _predicted(spark: SparkSession, folder: str) -> DataFrame:
+    return prediction.predict_delays(_features(spark, folder)).rows(spark)
+
+
 QUERIES: dict[str, Query] = {
     "funnel_status": _over(funnel.funnel_status),
     "funnel_conversion": _over(funnel.funnel_conversion, lifecycle=True),
@@ -94,6 +191,32 @@ QUERIES: dict[str, Query] = {
     "review_comment_share": _over(reviews.review_comment_share, comments=True),
     "untranslated_categories": _over(quality.untranslated_categories),
     "foreign_key_audit": _over(quality.foreign_key_audit),
+    "row_count_drift": _over(lambda t: quality.row_count_drift(t, EXPECTED_ROWS)),
+    "word_frequency": _over(reviews.word_frequency, comments=True),
+    "mann_whitney": lambda spark, folder: stats.mann_whitney(_price_samples(spark, folder)),
+    "welch_t_test": lambda spark, folder: stats.welch_t_test(_price_samples(spark, folder)),
+    "describe_test_result": _described,
+    "delay_score_test": _over(stats.delay_score_test, lifecycle=True),
+    "delay_score_spearman": _over(stats.delay_score_spearman, lifecycle=True),
+    "freight_score_spearman": _over(stats.freight_score_spearman),
+    "freight_median_test": _over(stats.freight_median_test),
+    "pearson": _pearson,
+    "chi_square": _chi_square,
+    "outliers_iqr": _over(lambda t: stats.outliers_iqr(rfm.customer_metrics(t), "customer_unique_id", "monetary")),
+    "outliers_zscore": _over(_costly_orders),
+    "standardize": _rounded(_standardized, *(f"{m}_z" for m in rfm.MEASURES)),
+    "kmeans_elbow": _elbow,
+    "kmeans_silhouette": _silhouette,
+    "kmeans_fit": _kmeans,
+    "rfm_clustering": _clustered,
+    "cluster_profiles": _profiles,
+    "delay_features": _features,
+    "train_test_prepare": _split,
+    "train_delay_model": _trained,
+    "evaluate_classifier": _evaluated,
+    "delay_prediction": _predicted,
 }
 
-ORACLE: dict[str, str] = {name: oracle.VIEWS + body for name, body in oracle.BODIES.items()}
+_STOP_LIST = ", ".join(f"'{word}'" for word in reviews.STOP_WORDS)
+_BODIES = oracle.BODIES | oracle_stats.BODIES
+ORACLE: dict[str, str] = {name: oracle.VIEWS + body.replace("{stop}", _STOP_LIST) for name, body in _BODIES.items()}

@@ -21,7 +21,9 @@ def round_double(value: Column, digits: int) -> Column:
     ``F.round`` rounds the shortest decimal text instead (1.005 -> 1.01).
     """
     scale = float(10**digits)
-    return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / F.lit(scale)
+    rounded = F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / F.lit(scale)
+    # Beyond 2^53 units a double has no fraction left; infinities and NaN stay too.
+    return F.when(F.abs(value) * scale < F.lit(2.0**53), rounded).otherwise(value)
 
 
 def round_half_even(value: Column, digits: int) -> Column:

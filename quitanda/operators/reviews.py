@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.functions.semantics import bucket_label, day_boundaries, mean, percent, ratio, round_double
-from quitanda.operators.base import DELIVERED, Tables, delivered_orders, product_labels, review_totals
+from quitanda.operators.base import Tables, delivered, delivered_orders, product_labels, review_totals
 
 # Delay ranges in days.
 DELAY_BUCKETS = (
@@ -105,9 +105,7 @@ def category_review_scores(tables: Tables, minimum: int = MIN_CATEGORY_REVIEWS)
 def reviewed_deliveries(tables: Tables) -> DataFrame:
     """Delivered orders with both dates and reviews: delay in days and review totals."""
     arrived, promised = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    orders = tables["orders"].filter(
-        (F.col("order_status") == DELIVERED) & arrived.isNotNull() & promised.isNotNull()
-    )
+    orders = delivered(tables).filter(arrived.isNotNull() & promised.isNotNull())
     return orders.select("order_id", day_boundaries(promised, arrived).alias("dias_atraso")).join(
         review_totals(tables), "order_id"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Order status codes, and English names of part types
 # (two types share a name, one has an empty name, one is absent).
@@ -25,6 +25,10 @@ ESTIMATE_DAYS = 30
 APPROVAL_HOURS = 13
 
 
+# Schemas already read from file footers, so that a session reads each of them once.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class LazyTables(Mapping[str, DataFrame]):
     """Tables by name, each built when it is first asked for."""
 
@@ -57,7 +61,12 @@ class StarTables:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._opened:
-            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            reader = self.spark.read
+            if path in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[path])
+            self._opened[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._opened[name].schema
         return self._opened[name]
 
     def _status(self) -> F.Column:
@@ -67,9 +76,16 @@ class StarTables:
             label = F.when(code == letter, F.lit(name)) if label is None else label.when(code == letter, F.lit(name))
         return label
 
-    def orders(self, lifecycle: bool = True) -> DataFrame:
-        """Orders; without ``lifecycle`` no shipping dates and no pass over line items."""
-        base = self.raw("orders").select(
+    def orders(self, lifecycle: bool = True, code: str | None = None) -> DataFrame:
+        """Orders; without ``lifecycle`` no shipping dates and no pass over line items.
+
+        ``code`` keeps one status by its source code, which reaches the scan;
+        a filter on the mapped name would not.
+        """
+        source = self.raw("orders")
+        if code is not None:
+            source = source.filter(F.col("o_orderstatus") == code)
+        base = source.select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             self._status().alias("order_status"),
@@ -104,7 +120,7 @@ class StarTables:
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
             price.alias("price"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+            (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("freight_value"),
         )
 
     def customers(self) -> DataFrame:
@@ -194,6 +210,7 @@ class StarTables:
             {
                 "customers": self.customers,
                 "orders": lambda: self.orders(lifecycle),
+                "delivered_orders": lambda: self.orders(lifecycle, "F"),
                 "order_items": self.order_items,
                 "order_payments": self.order_payments,
                 "order_reviews": lambda: self.order_reviews(comments),
