@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import oracle, oracle_stats
@@ -114,18 +113,16 @@ def _people(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _elbow(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(pa.Table.from_pylist(clustering.kmeans_elbow(_people(spark, folder))))
+    return clustering.records(spark, clustering.kmeans_elbow(_people(spark, folder)))
 
 
 def _silhouette(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(pa.Table.from_pylist(clustering.kmeans_silhouette(_people(spark, folder))))
+    return clustering.records(spark, clustering.kmeans_silhouette(_people(spark, folder)))
 
 
 def _kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = clustering.feature_vectors(_people(spark, folder))
-    with clustering.kept(vectors):
-        model = clustering.fit_kmeans(vectors, 4)
-    return model.transform(vectors).select("customer_unique_id", *rfm.MEASURES, clustering.CLUSTER)
+    assigned = clustering.kmeans_fit(_people(spark, folder), 4).assigned
+    return assigned.select("customer_unique_id", *rfm.MEASURES, clustering.CLUSTER)
 
 
 def _clustered(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +140,7 @@ def _trained(spark: SparkSession, folder: str) -> DataFrame:
     split = _split(spark, folder)
     model = prediction.train_delay_model(split.filter(~F.col("em_teste"))).stages[-1]
     rows = [{"feature": f, "coefficient": float(c)} for f, c in zip(prediction.FEATURES, model.coefficients, strict=True)]
-    return spark.createDataFrame(pa.Table.from_pylist([*rows, {"feature": "intercept", "coefficient": model.intercept}]))
+    return clustering.records(spark, [*rows, {"feature": "intercept", "coefficient": model.intercept}])
 
 
 def _predicted(spark: SparkSession, folder: str) -> DataFrame:
