@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,7 +12,12 @@ from checks import oracle, oracle_stats
 from quitanda.functions.semantics import round_double
 from quitanda.operators import clustering, cohort, funnel, geo, prediction, quality, reviews, rfm, season, stats
 from quitanda.operators.base import Tables
+from quitanda.plans import export
+from quitanda.plans.catalog import run_all
+from quitanda.schemas import table_schema
+from quitanda.session import ensure_checkpoint_dir
 from quitanda.sources.adapters import StarTables
+from quitanda.sources.csv_tables import FILE_PATTERNS, load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +154,61 @@ def _predicted(spark: SparkSession, folder: str) -> DataFrame:
     return prediction.predict_delays(_features(spark, folder)).rows(spark)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/quitanda-{uuid.uuid4().hex}"
+
+
+# Loaded tables, and the amount summed up for each.
+LOADED = {"customers": None, "sellers": None, "products": "product_weight_g", "order_items": "price + freight_value"}
+
+
+def _loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and amounts of tables that went through CSV files and back."""
+    tables, target = StarTables(spark, folder).tables(False, False), _scratch(spark)
+    for name in LOADED:
+        known = {f.name for f in table_schema(name)}
+        missing = known - set(tables[name].columns)
+        columns = [*(c for c in tables[name].columns if c in known), *(F.lit(None).cast("string").alias(c) for c in missing)]
+        tables[name].select(*columns).write.option("header", True).csv(f"{target}/{name}.csv")
+    loaded = load_tables(spark, target, {name: FILE_PATTERNS[name] for name in LOADED})
+    return reduce(
+        DataFrame.unionByName,
+        (
+            loaded[name].agg(F.count("*").alias("linhas"), F.sum(F.expr(amount or "0")).cast("decimal(38,2)").alias("soma"))
+            .select(F.lit(name).alias("tabela"), "linhas", "soma")
+            for name, amount in LOADED.items()
+        ),
+    )
+
+
+def _result_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every named result."""
+    results = run_all(StarTables(spark, folder).tables())
+    return reduce(
+        DataFrame.unionByName,
+        (df.agg(F.count("*").alias("linhas")).select(F.lit(name).alias("resultado"), "linhas") for name, df in results.items()),
+    )
+
+
+def _exported(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly series, read back from its exported JSON file."""
+    target = _scratch(spark)
+    series = season.monthly_series(StarTables(spark, folder).tables(False, False))
+    names = export.export_results(spark, {"sazonalidade_mensal": series}, target)
+    schema = "mes STRING, pedidos LONG, receita DOUBLE, media_movel_3m DOUBLE, mom_growth DOUBLE"
+    return spark.read.schema(schema).option("multiLine", True).json(f"{target}/{names[0]}")
+
+
+def _json_safe(tables: Tables) -> DataFrame:
+    return export.json_safe(season.year_over_year(tables))
+
+
+def _round_fields(tables: Tables) -> DataFrame:
+    """Shares with more digits than the export keeps."""
+    return export.round_fields(geo.geo_state_metrics(tables), ["receita", "frete_percentual", "pedidos"])
+
+
 QUERIES: dict[str, Query] = {
     "funnel_status": _over(funnel.funnel_status),
     "funnel_conversion": _over(funnel.funnel_conversion, lifecycle=True),
@@ -212,8 +274,37 @@ QUERIES: dict[str, Query] = {
     "train_delay_model": _trained,
     "evaluate_classifier": _evaluated,
     "delay_prediction": _predicted,
+    "load_tables": _loaded,
+    "run_named_queries": _result_sizes,
+    "export_results": _exported,
+    "json_safe": _over(_json_safe),
+    "round_fields": _over(_round_fields),
 }
 
 _STOP_LIST = ", ".join(f"'{word}'" for word in reviews.STOP_WORDS)
 _BODIES = oracle.BODIES | oracle_stats.BODIES
 ORACLE: dict[str, str] = {name: oracle.VIEWS + body.replace("{stop}", _STOP_LIST) for name, body in _BODIES.items()}
+
+# Query of every named result.
+_RESULT_QUERIES = {
+    "funil_status": "funnel_status",
+    "funil_conversao": "funnel_conversion",
+    "funil_tempos": "delivery_time_buckets",
+    "rfm_scores": "rfm_scores",
+    "rfm_segmentos": "rfm_segments",
+    "cohort_retencao": "cohort_retention",
+    "cohort_recompra": "cohort_repurchase",
+    "geo_estados": "geo_state_metrics",
+    "geo_categorias": "geo_top_categories",
+    "sazonalidade_mensal": "monthly_series",
+    "sazonalidade_semanal": "weekday_pattern",
+    "sazonalidade_horaria": "hourly_pattern",
+    "reviews_distribuicao": "review_distribution",
+    "reviews_nps": "nps",
+    "reviews_categorias": "category_review_scores",
+    "reviews_atraso": "delay_vs_score",
+    "reviews_comentarios": "review_comment_share",
+}
+ORACLE["run_named_queries"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS resultado, count(*) AS linhas FROM ({ORACLE[query]})" for name, query in _RESULT_QUERIES.items()
+)

@@ -6,7 +6,7 @@ shares nothing with the closed forms used on Spark.
 
 from __future__ import annotations
 
-from checks.oracle import DELAYS, RFM, STATES
+from checks.oracle import DELAYS, RFM, SERIES, STATES
 
 _STEPS = 20000
 
@@ -194,6 +194,26 @@ BODIES = {
           SELECT faixa, palavra, count(*) AS contagem FROM words
           WHERE faixa IS NOT NULL AND length(palavra) >= 2 AND palavra NOT IN ({stop}) GROUP BY 1, 2)
         SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY faixa ORDER BY contagem DESC, palavra) <= 10""",
+    "load_tables": """
+        SELECT 'customers' AS tabela, count(*) AS linhas, CAST(0 AS DECIMAL(38,2)) AS soma FROM m_customers
+        UNION ALL SELECT 'sellers', count(*), 0 FROM m_sellers
+        UNION ALL SELECT 'products', count(*), sum(weight) FROM m_products
+        UNION ALL SELECT 'order_items', count(*), sum(price + CAST(freight AS DECIMAL(10,2))) FROM m_items""",
+    "export_results": SERIES
+    + """, s AS (SELECT mes, pedidos, receita,
+          CASE WHEN row_number() OVER w >= 3 THEN ROUND(CAST(avg(receita) OVER (w ROWS 2 PRECEDING) AS NUMERIC), 2) END AS a,
+          CASE WHEN lag(receita) OVER w > 0 THEN CAST((receita - lag(receita) OVER w) / lag(receita) OVER w AS NUMERIC) END AS g
+        FROM months WINDOW w AS (ORDER BY mes))
+        SELECT strftime(mes, '%Y-%m') AS mes, pedidos, CAST(receita AS DOUBLE) AS receita, CAST(a AS DOUBLE) AS media_movel_3m,
+               CAST(g AS DOUBLE) AS mom_growth FROM s""",
+    "json_safe": SERIES
+    + """SELECT strftime(a.mes, '%Y-%m-%d') AS mes, CAST(a.receita AS DOUBLE) AS receita,
+        CAST(b.receita AS DOUBLE) AS receita_ano_anterior,
+        CASE WHEN b.receita > 0 THEN CAST(CAST((a.receita - b.receita) / b.receita AS NUMERIC) AS DOUBLE) END AS yoy_growth
+        FROM months a LEFT JOIN months b ON b.mes = CAST(a.mes - INTERVAL 12 MONTH AS DATE)""",
+    "round_fields": STATES
+    + """SELECT * REPLACE (CAST(receita AS DOUBLE) AS receita, round_even(CAST(frete_percentual AS DOUBLE) * 100, 0) / 100 AS frete_percentual)
+        FROM states""",
     "row_count_drift": " UNION ALL ".join(
         f"""SELECT '{name}' AS tabela, count(*) AS linhas, CAST({rows} AS BIGINT) AS esperado,
             ROUND(abs(count(*) - {rows}) * 100.0 / {rows}, 1) AS diferenca_pct, abs(count(*) - {rows}) / {rows} > 0.01 AS alerta FROM {source}"""
