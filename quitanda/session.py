@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -41,6 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Rows of a few numbers that one task of an iterative pass takes on.
+ROWS_PER_TASK = 200_000
+
+
+def compacted(df: DataFrame, rows: int) -> DataFrame:
+    """Materialised ``df`` read by no more tasks than its rows call for.
+
+    Many passes over a small frame would otherwise pay for every empty
+    partition of its last shuffle; large frames keep their partitions.
+    """
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 
