@@ -66,7 +66,7 @@ def compare(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> l
 
 def main(arguments: list[str]) -> int:
     folder, *names = arguments
-    spark = build_session("compare", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("compare", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
     failed = 0

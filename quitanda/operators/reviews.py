@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.functions.semantics import bucket_label, day_boundaries, mean, percent, ratio, round_double
+from quitanda.functions.skew import salted_join
 from quitanda.operators.base import Tables, delivered, delivered_orders, product_labels, review_totals
 
 # Delay ranges in days.
@@ -73,26 +74,31 @@ def nps(tables: Tables) -> DataFrame:
     return tables["order_reviews"].agg(*_promoter_counts()).select("*", *_promoter_shares())
 
 
-def category_review_scores(tables: Tables, minimum: int = MIN_CATEGORY_REVIEWS) -> DataFrame:
-    """Scores per category, one observation per item and review of delivered orders.
+def _per_category(tables: Tables, per_order: DataFrame) -> DataFrame:
+    """Counts per reviewed order summed up per category, once per item of the order.
 
     Reviews are reduced per order and the result per product before labels
     join, so neither a hot order nor a hot product multiplies rows.
     """
-    totals = review_totals(tables)
-    sums = [c for c in totals.columns if c != "order_id"]
+    sums = [c for c in per_order.columns if c != "order_id"]
+    items = tables["order_items"].select("order_id", "product_id")
     per_product = (
-        tables["order_items"].select("order_id", "product_id")
-        .join(delivered_orders(tables).join(totals, "order_id"), "order_id")
+        salted_join(items, delivered_orders(tables).join(per_order, "order_id"), "order_id", ["product_id"])
         .groupBy("product_id")
         .agg(*(F.sum(c).alias(c) for c in sums))
     )
-    per_category = (
+    return (
         per_product.join(product_labels(tables), "product_id")
         .groupBy("categoria")
         .agg(*(F.sum(c).alias(c) for c in sums))
-        .filter(F.col("reviews") >= minimum)
     )
+
+
+def category_review_scores(tables: Tables, minimum: int = MIN_CATEGORY_REVIEWS) -> DataFrame:
+    """Scores per category, one observation per item and review of delivered orders.
+
+    """
+    per_category = _per_category(tables, review_totals(tables)).filter(F.col("reviews") >= minimum)
     return per_category.select(
         "categoria",
         F.col("reviews").alias("total_reviews"),
@@ -177,19 +183,7 @@ def score_bands(tables: Tables, minimum: int = MIN_CATEGORY_REVIEWS) -> DataFram
 def nps_by_category(tables: Tables) -> DataFrame:
     """Promoter score per category, one observation per item and review of delivered orders."""
     per_order = tables["order_reviews"].groupBy("order_id").agg(*_promoter_counts())
-    sums = ["promotores", "neutros", "detratores", "total"]
-    per_product = (
-        tables["order_items"].select("order_id", "product_id")
-        .join(delivered_orders(tables).join(per_order, "order_id"), "order_id")
-        .groupBy("product_id")
-        .agg(*(F.sum(c).alias(c) for c in sums))
-    )
-    return (
-        per_product.join(product_labels(tables), "product_id")
-        .groupBy("categoria")
-        .agg(*(F.sum(c).alias(c) for c in sums))
-        .select("*", *_promoter_shares())
-    )
+    return _per_category(tables, per_order).select("*", *_promoter_shares())
 
 
 def word_frequency(

@@ -1,11 +1,14 @@
 """Hot keys and plans: results stay right and no plan gathers or multiplies rows."""
 
 import random
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quitanda.functions import skew
 from quitanda.operators import cohort, geo, quality, reviews, rfm, season
 
 
@@ -22,8 +25,6 @@ def hot(spark):
         "sellers": ("seller_id INT, seller_state STRING", []),
         "category_translation": ("product_category_name STRING, product_category_name_english STRING", []),
     }
-    from datetime import datetime, timedelta
-
     start = datetime(2017, 1, 1)
     for order in range(300):
         customer = 0 if order % 3 == 0 else rng.randint(1, 80)
@@ -108,6 +109,30 @@ def test_customer_metrics_with_a_hot_customer(hot):
     )
 
 
+@pytest.mark.parametrize(
+    "check",
+    [test_category_scores_with_a_hot_order_and_product, test_top_categories_with_hot_keys],
+    ids=lambda f: f.__name__.removeprefix("test_"),
+)
+def test_salted_joins_give_the_same_results(hot, monkeypatch, check):
+    monkeypatch.setattr(skew, "SMALL_BYTES", -1)
+    monkeypatch.setattr(skew, "HOT_SHARE", 20)
+    check(hot)
+
+
+def test_salt_spreads_only_the_hot_key(hot, monkeypatch):
+    frames, _ = hot
+    monkeypatch.setattr(skew, "HOT_SHARE", 20)
+    items, orders = frames["order_items"], frames["orders"]
+    assert items.select(skew.hot_keys(items, "order_id")).first()[0] == [1]
+    joined = skew.salted_join(items, orders, "order_id", ["product_id"], small_bytes=-1)
+    salts = {r["order_id"]: r["n"] for r in joined.groupBy("order_id").agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert salts[1] > 10 and all(n == 1 for order, n in salts.items() if order != 1)
+    assert joined.count() == items.join(orders, "order_id").count()
+    empty = skew.salted_join(items.limit(0), orders, "order_id", ["product_id"], small_bytes=-1)
+    assert empty.count() == 0
+
+
 def test_skewed_joins_are_split(spark, hot):
     """With thresholds scaled down to the fixture, the adaptive plan splits the hot product."""
     frames, connection = hot
