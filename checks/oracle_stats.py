@@ -41,9 +41,12 @@ _MANN_WHITNEY = f"""
 , mw AS (
   SELECT *, CASE WHEN z < 0 THEN 1.0 ELSE {_normal_tail('z')} END AS p FROM z
 ), mw_row AS (
-  SELECT 'Mann-Whitney U' AS teste_usado, ROUND(u, 4) AS u_statistic, ROUND(p, 6) AS p_value, p < 0.05 AS significativo,
-         ROUND(1 - 2 * u / (na * nb), 4) AS tamanho_efeito, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b,
-         CAST(0.05 AS DOUBLE) AS alpha, CAST(NULL AS VARCHAR) AS mensagem FROM mw
+  SELECT 'Mann-Whitney U' AS teste_usado, CASE WHEN enough THEN ROUND(u, 4) END AS u_statistic,
+         CASE WHEN enough THEN ROUND(p, 6) END AS p_value, CASE WHEN enough THEN p < 0.05 END AS significativo,
+         CASE WHEN enough THEN ROUND(1 - 2 * u / (na * nb), 4) END AS tamanho_efeito,
+         CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, CAST(0.05 AS DOUBLE) AS alpha,
+         CASE WHEN NOT enough THEN 'Amostra insuficiente' END AS mensagem
+  FROM (SELECT *, least(na, nb) >= 2 AS enough FROM mw)
 )
 """
 
