@@ -200,6 +200,14 @@ def _exported(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(f"{target}/{names[0]}")
 
 
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """All customer scores through JSON lines, the sink for results of any size."""
+    target = _scratch(spark)
+    export.write_rows(_people(spark, folder), target)
+    schema = "customer_unique_id LONG, recency LONG, frequency LONG, monetary DOUBLE, r_score INT, f_score INT, m_score INT, segmento STRING"
+    return spark.read.schema(schema).json(target)
+
+
 def _json_safe(tables: Tables) -> DataFrame:
     return export.json_safe(season.year_over_year(tables))
 
@@ -277,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "load_tables": _loaded,
     "run_named_queries": _result_sizes,
     "export_results": _exported,
+    "write_json": _written,
     "json_safe": _over(_json_safe),
     "round_fields": _over(_round_fields),
 }
@@ -285,6 +294,8 @@ _STOP_LIST = ", ".join(f"'{word}'" for word in reviews.STOP_WORDS)
 _BODIES = oracle.BODIES | oracle_stats.BODIES
 ORACLE: dict[str, str] = {name: oracle.VIEWS + body.replace("{stop}", _STOP_LIST) for name, body in _BODIES.items()}
 
+ORACLE["write_json"] = f"SELECT * REPLACE (CAST(monetary AS DOUBLE) AS monetary) FROM ({ORACLE['rfm_scores']})"
+
 # Query of every named result.
 _RESULT_QUERIES = {
     "funil_status": "funnel_status",
