@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quitanda.llm.frames import durable, size_checked
 from quitanda.llm.words import LOWER_CODES, STEP, flat, mix, windows, word_hashes
 
 BUCKETS = 1 << 16
@@ -46,18 +47,18 @@ def word_grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[order].astype(np.uint16), np.searchsorted(texts[order], np.arange(len(bounds)))
 
 
-def gram_counts(docs: DataFrame, text: str, trusted: str, grams: Grams) -> DataFrame:
+def gram_counts(docs: DataFrame, text: str, trusted: str, grams: Grams, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, raw, target): n-grams of all rows and of rows whose `trusted` is true, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw_counts, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found, bounds = grams(*flat(part.column(0)))
-                raw_counts += np.bincount(found, minlength=BUCKETS)
+                raw_counts += np.bincount(found, minlength=buckets)
                 chosen = np.repeat(part.column(1).fill_null(False).to_numpy(zero_copy_only=False), np.diff(bounds))
-                target += np.bincount(found[chosen], minlength=BUCKETS)
+                target += np.bincount(found[chosen], minlength=buckets)
         used = np.flatnonzero(raw_counts)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, raw_counts[used], target[used])], ["bucket", "raw", "target"])
 
@@ -93,8 +94,6 @@ def text_scores(texts: pa.Array, ratios: np.ndarray, grams: Grams) -> tuple[np.n
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`docs` with `_quality` of their labels: the largest where several rows label one id, null where none does."""
-    from quitanda.llm.frames import durable, size_checked
-
     best = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     best = durable(best.withColumnRenamed("doc_id", "_labelled"))
     return docs.drop("_quality", "_labelled").join(size_checked(best), F.col(doc_id).cast("long") == F.col("_labelled"), "left").drop("_labelled")
