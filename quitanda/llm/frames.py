@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quitanda.session import durable
+from quitanda.session import durable as _durable
 
 __all__ = ["durable", "keep_rows", "row_key", "size_checked"]
 
@@ -12,6 +12,21 @@ __all__ = ["durable", "keep_rows", "row_key", "size_checked"]
 BROADCAST_ROWS = 400_000
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """`df` materialised in the shared checkpoint folder, without inferred constraints.
+
+    A checkpoint keeps the constraints of the plan it replaces; over the rounds of an
+    iteration they multiply until planning exhausts the driver.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return _durable(df)
+    finally:
+        conf.set(name, before)
+
+
 def size_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`small`, marked for broadcast if a count proves that it has few narrow rows.
 
