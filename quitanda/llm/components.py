@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quitanda.llm.frames import durable
+from quitanda.llm.frames import Scratch, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,14 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the number of nodes.  Hot nodes only meet partial
     aggregation and joins that Spark may split.
     """
-    edges = durable(links.select("a", "b").filter("a <> b").distinct())
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.save(links.select("a", "b").filter("a <> b").distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = durable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         while True:
             higher = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            jumped = durable(up.join(higher, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            jumped = scratch.save(up.join(higher, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
             up = jumped.drop("moved")
             if jumped.filter("moved").isEmpty():
                 break
@@ -31,10 +32,12 @@ def components(links: DataFrame) -> DataFrame:
         else:
             above = up.select(F.col("node").alias("component"), F.col("up").alias("top"))
             labels = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-            labels = durable(labels)
+            labels = scratch.save(labels)
         ends = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}"))
         edges = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
-        edges = durable(edges.filter("a <> b").distinct())
+        edges = scratch.save(edges.filter("a <> b").distinct())
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = durable(labels)
+    scratch.clear()
     return labels

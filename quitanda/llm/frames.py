@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
 
-from quitanda.session import durable as _durable
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-__all__ = ["durable", "keep_rows", "row_key", "size_checked"]
+from quitanda.session import durable, ensure_checkpoint_dir
+
+__all__ = ["Scratch", "durable", "keep_rows", "row_key", "size_checked"]
 
 #: Rows of a few long columns that may be broadcast: some 16 MB.
 BROADCAST_ROWS = 400_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` materialised in the shared checkpoint folder, without inferred constraints.
+class Scratch:
+    """Frames written to a folder of their own below the shared checkpoint folder.
 
-    A checkpoint keeps the constraints of the plan it replaces; over the rounds of an
-    iteration they multiply until planning exhausts the driver.
+    Unlike a checkpoint, a frame read back has the size of its files: the estimate that a
+    checkpoint keeps is squared by every self-join, which no long iteration survives.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return _durable(df)
-    finally:
-        conf.set(name, before)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.frames = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path, self.frames = f"{self.folder}/{self.frames}", self.frames + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the folder, once nothing lazy reads from it."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def size_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
