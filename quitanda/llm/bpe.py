@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers: some 150 MB; early ones are the frequent ones.
-CACHED = 1 << 19
+#: Chunks that a worker remembers: some 80 MB; early ones are the frequent ones.
+CACHED = 400_000
 #: Fragments of these lengths are merged side by side, longer ones one by one.
 WIDTHS = (0, 6, 12, 24)
 NONE = 1 << 40
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 #: Texts of these characters alone are stable under NFC and need no library call.
 _OTHER = re.compile("[^\x00-\x1b\x20-\u02ff]")
 
@@ -69,7 +69,7 @@ class ForcedBPE:
         keys = np.array([(ids[x] << 32) | ids[y] for x, y in pairs], np.int64)
         self.rank_of_key = np.argsort(keys)
         self.keys = keys[self.rank_of_key]
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE where nothing merges them."""
@@ -125,44 +125,48 @@ class ForcedBPE:
                     heapq.heappush(heap, (ranks[pair], left, pair))
         return [p for p in parts if p is not None]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word: all are cut at forced boundaries, and fragments of like length merge together."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has.
+
+        All words are cut at forced boundaries, and fragments of like length merge together.
+        """
         raw = np.frombuffer(b"".join(words), np.uint8)
         last = np.zeros(len(raw), bool)
-        last[np.cumsum([*map(len, words)]) - 1] = True
+        word_ends = np.cumsum([*map(len, words)])
+        last[word_ends - 1] = True
         cut = last.copy()
         cut[:-1] |= ~self.inner[raw[:-1], raw[1:]]
         ends = np.flatnonzero(cut) + 1
         starts = np.append(0, ends[:-1])
         symbols = self.single[last.astype(int), raw]
         lengths = ends - starts
-        out: list[list[int]] = [[]] * len(ends)
+        # A fragment never has more ids than bytes: ids are first put where its bytes were.
+        placed = np.full(len(raw), -1, np.int64)
         for low, high in pairwise(WIDTHS):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            for some in np.array_split(rows, len(rows) // 20_000 + 1):
-                if not len(some):
-                    continue
-                place = np.arange(high)
-                inside = place < lengths[some, None]
-                block = np.where(inside, symbols[np.minimum(starts[some, None] + place, len(raw) - 1)], -1)
-                block = self.merge_short(block)
-                counts = (block >= 0).sum(axis=1)
-                for i, row, count in zip(some.tolist(), block.tolist(), counts.tolist(), strict=True):
-                    out[i] = row[:count]
+            for some in np.array_split(rows, len(rows) // 10_000 + 1):
+                if len(some):
+                    place = np.arange(high)
+                    inside = place < lengths[some, None]
+                    at = np.minimum(starts[some, None] + place, len(raw) - 1)
+                    block = self.merge_short(np.where(inside, symbols[at], -1))
+                    placed[at[inside]] = block[inside]
         for i in np.flatnonzero(lengths > WIDTHS[-1]).tolist():
-            out[i] = self.merge_long(symbols[starts[i] : ends[i]].tolist())
-        if len(out) == len(words):
-            return out
-        first = np.flatnonzero(last[ends - 1])
-        bounds = zip([0, *(first[:-1] + 1).tolist()], (first + 1).tolist(), strict=True)
-        return [out[a] if b == a + 1 else [*chain.from_iterable(out[a:b])] for a, b in bounds]
-
-    def encode_chunks(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+            ids = self.merge_long(symbols[starts[i] : ends[i]].tolist())
+            placed[starts[i] : starts[i] + len(ids)] = ids
+        counts = np.append(0, np.cumsum(placed >= 0))[np.append(0, word_ends)]
+        return placed[placed >= 0].astype("<u4"), np.diff(counts)
+
+    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of normalised texts without white space."""
-        found = [self.pattern.findall(c) for c in chunks]
+        found = [[c] if c.isalpha() else self.pattern.findall(c) for c in chunks]
         words = [w.encode() for ws in found for w in ws]
-        ids = iter(self.encode_words(words) if words else ())
-        return {c: tuple(chain.from_iterable(next(ids) for _ in ws)) for c, ws in zip(chunks, found, strict=True)}
+        if not words:
+            return dict.fromkeys(chunks, b"")
+        ids, counts = self.encode_words(words)
+        bounds = 4 * np.append(0, np.cumsum(counts))[np.append(0, np.cumsum([*map(len, found)]))]
+        data, ends = ids.tobytes(), bounds.tolist()
+        return {c: data[a:b] for c, a, b in zip(chunks, ends[:-1], ends[1:], strict=True)}
 
     def library_words(self, text: str) -> list[bytes]:
         """Words of a text whose normalisation is left to the library."""
@@ -175,8 +179,8 @@ class ForcedBPE:
             return [text]
         return [self.special.get(part, part) for part in self.specials.split(text) if part]
 
-    def encode_batch(self, texts: list[str | None], special: bool = True) -> list[list[int]]:
-        """Ids of texts; null counts as empty.  With `special`, special tokens in a text are found.
+    def encode_batch(self, texts: list[str | None], special: bool = True) -> list[bytes]:
+        """Ids of texts, as 32-bit numbers; null counts as empty.  With `special`, special tokens in a text are found.
 
         Texts of characters that are stable under NFC only need lower case, and since
         no word crosses white space, their chunks between it are looked up or encoded together.
@@ -186,26 +190,26 @@ class ForcedBPE:
         memory = self.memory
         new = {c for ps in chunks for p in ps if isinstance(p, list) for c in p if c not in memory}
         found = self.encode_chunks(list(new)) if new else {}
+        get = memory.__getitem__
         if len(memory) + len(found) <= CACHED:
             memory.update(found)
-            get = memory.__getitem__
-        else:
-            get = lambda c: memory[c] if c in memory else found[c]
+        elif found:
+            get = lambda c: found[c] if c in found else memory[c]
         out = []
         for ps in chunks:
-            ids: list[int] = []
+            ids: list[bytes] = []
             for p in ps:
                 if isinstance(p, list):
-                    ids.extend(chain.from_iterable(map(get, p)))
+                    ids.extend(map(get, p))
                 elif isinstance(p, int):
-                    ids.append(p)
+                    ids.append(p.to_bytes(4, "little"))
                 elif words := self.library_words(p):
-                    ids.extend(chain.from_iterable(self.encode_words(words)))
-            out.append(ids)
+                    ids.append(self.encode_words(words)[0].tobytes())
+            out.append(b"".join(ids))
         return out
 
     def encode(self, text: str | None, special: bool = True) -> list[int]:
-        return self.encode_batch([text], special)[0]
+        return np.frombuffer(self.encode_batch([text], special)[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As the library does without a decoder: the tokens' names joined by spaces."""
@@ -227,7 +231,7 @@ def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encoded_slices(
     batches: Iterator[pa.RecordBatch], path: str, special: bool = True
-) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches (doc_id, text) with the ids of their texts."""
     bpe = encoder(path)
     gc.disable()  # the memory makes no cycles, and looking for them costs a quarter of the time
@@ -238,9 +242,10 @@ def encoded_slices(
         gc.enable()
 
 
-def id_lists(lists: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
+def id_lists(ids: list[bytes]) -> pa.Array:
+    """An Arrow list of 32-bit numbers for each text."""
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:

@@ -32,8 +32,10 @@ def cut_pieces(encoded: DataFrame, capacity: int = CAPACITY, separator: int = SE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = np.append(np.asarray(ids or [], "<u4"), np.uint32(separator)).astype("<u4")
+            lists = batch.column(1)
+            flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                whole = np.append(flat[a:b], separator).astype("<u4")
                 for k, start in enumerate(range(0, len(whole), capacity)):
                     part = whole[start : start + capacity]
                     rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), part))

@@ -35,7 +35,7 @@ def write_blocks(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids in encoded_slices(batches, path, special=False):
-            tokens = [np.array([*i, separator], "<u2").tobytes() for i in ids]
+            tokens = [np.append(np.frombuffer(i, "<u4"), separator).astype("<u2").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
