@@ -31,7 +31,7 @@ def byte_grams(raw: np.ndarray, bounds: np.ndarray, size: int = 4) -> tuple[np.n
     counts = np.maximum(np.diff(bounds) - size + 1, 0)
     inside = np.ones(len(raw) + size, bool)
     for k in range(1, size):
-        inside[np.maximum(bounds[1:] - k, bounds[:-1])] = False
+        inside[bounds[1:][np.diff(bounds) >= k] - k] = False
     return hashed[inside[: len(hashed)]], np.append(0, np.cumsum(counts))
 
 
