@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda.session import durable, ensure_checkpoint_dir
 
-__all__ = ["Scratch", "durable", "keep_rows", "row_key", "size_checked"]
+__all__ = ["Scratch", "durable", "keep_rows", "release", "row_key", "size_checked"]
 
 #: Rows of a few long columns that may be broadcast: some 16 MB.
 BROADCAST_ROWS = 400_000
@@ -38,6 +39,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of frames that are materialised by now.
+
+    It does so when the driver collects garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def size_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`small`, marked for broadcast if a count proves that it has few narrow rows.
 

@@ -19,20 +19,22 @@ any such order of shingles gives exact results.  Shingles are compared by 64-bit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.llm.components import components
-from quitanda.llm.frames import durable, keep_rows, size_checked
+from quitanda.llm.frames import durable, keep_rows, release, size_checked
 from quitanda.llm.words import mix, shingle_sets
 
 SHINGLE_WORDS = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
 CELLS = 1 << 16
+#: Cells of a set's sketch, and the largest set that one byte a cell is enough for.
+SKETCH_CELLS, SKETCH_SIZE = 256, 8192
 #: Lists of shingles this many times as frequent as the mean are dealt out over several tasks.
 HOT = 4
 
@@ -79,7 +81,7 @@ def cell_of(shingles: np.ndarray) -> np.ndarray:
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, salt, sid, size, pos): the rarest shingles of every set, enough for the threshold."""
-    salts = 1 + counts // max(1, HOT * int(counts.mean() + 1))
+    salts = np.minimum(1 + counts // max(1, HOT * int(counts.mean() + 1)), 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _slices(batches):
@@ -93,11 +95,14 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             sid = np.repeat(ids.to_numpy(), prefix)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             shares = salts[cell_of(token)]
-            salt = np.where(shares > 1, 1 + mix(sid.astype(np.uint64)) % shares.astype(np.uint64), 0)
-            columns = (token.view(np.int64), salt.astype(np.int32), sid, np.repeat(sizes, prefix).astype(np.int32), pos.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "sid", "size", "pos"])
+            salt = np.where(shares > 1, 1 + mix(sid.astype(np.uint64)) % shares.astype(np.uint64), 0).astype(np.int64)
+            # Size, position and salt travel as one number: an entry is most of what is shuffled.
+            packed = (np.repeat(sizes, prefix) << 36) | (pos << 8) | salt
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token.view(np.int64), sid, packed)], ["token", "sid", "packed"])
 
-    return docs.mapInArrow(run, "token long, salt int, sid long, size int, pos int")
+    rows = docs.mapInArrow(run, "token long, sid long, packed long").repartition("token", F.col("packed").bitwiseAND(F.lit(255)))
+    part = lambda shift, bits: F.shiftright("packed", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return rows.select("token", F.col("packed").bitwiseAND(F.lit(255)).alias("salt"), "sid", part(36, 28).alias("size"), part(8, 28).alias("pos"))
 
 
 def enough(overlap: Column, sizes: Column) -> Column:
@@ -130,27 +135,53 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("o.sid").alias("a"), F.col("sid").alias("b")).distinct()
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of pairs of ids, from their texts' whole sets."""
-    pairs = durable(pairs)
+def with_texts(pairs: DataFrame, docs: DataFrame, encode: Callable[[np.ndarray], bytes], compare: Callable[[bytes, bytes], int]) -> DataFrame:
+    """(a, b, na, nb, overlap) of pairs of ids: `compare` on what `encode` makes of their texts' sets."""
+    pairs = durable(pairs.select("a", "b"))
     ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, sets in _slices(batches):
-            yield pa.RecordBatch.from_arrays([doc, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
+            columns = [doc, pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "data"])
 
-    sets = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, tokens binary")
+    rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, data binary")
 
     @F.arrow_udf("bigint")
-    def common(left: pa.Array, right: pa.Array) -> pa.Array:
-        both = zip(left.to_pylist(), right.to_pylist(), strict=True)
-        views = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both)
-        return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in views], pa.int64())
+    def compared(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([compare(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
+
+    of = lambda end: rows.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("data").alias(f"d{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", compared("da", "db"))
+    done = durable(both.select("a", "b", "na", "nb", "overlap"))
+    release(docs.sparkSession)
+    return done
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in cells; nothing for a set too large for bytes."""
+    if len(s) > SKETCH_SIZE:
+        return b""
+    counts = np.bincount((s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
 
-    of = lambda end: sets.select(F.col("sid").alias(end), F.col("tokens").alias(f"t{end}"))
-    rows = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", common("ta", "tb"))
-    size = lambda end: (F.octet_length(f"t{end}") / 8).cast("long").alias(f"n{end}")
-    return durable(rows.select("a", "b", size("a"), size("b"), "overlap"))
+def sketch_bound(x: bytes, y: bytes) -> int:
+    """No less than the overlap of two sets: cell by cell they share the smaller count at most."""
+    if not x or not y:
+        return 1 << 40
+    return int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+
+
+def common(x: bytes, y: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, na, nb, overlap) of pairs of ids; where a bound rules a link out, the bound stands for the overlap."""
+    bounded = with_texts(pairs, docs, sketch, sketch_bound)
+    may = enough(F.col("overlap"), F.col("na") + F.col("nb"))
+    return bounded.filter(~may).unionByName(with_texts(bounded.filter(may), docs, np.ndarray.tobytes, common))
 
 
 def linked(compared: DataFrame) -> DataFrame:
@@ -235,6 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copies = durable(members.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("sid")).cast("int")).alias("own")).filter("own = 0"))
     single = keep_rows(docs.filter("doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
     lists = durable(index_lists(postings(single, cell_counts(single))))
+    release(docs.sparkSession)
     near = linked(overlaps(neighbour_pairs(lists), single))
     pivots = durable(members_of(near))
     same_id = members.filter("doc_id <> sid").select(F.col("sid").alias("a"), F.col("doc_id").alias("b"))
