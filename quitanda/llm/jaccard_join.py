@@ -5,7 +5,7 @@ that two sets within the threshold share one of them (prefix filter).  An index
 keeps size and position of each entry; entries whose positions leave too few shingles
 for the threshold are skipped, first as whole blocks of entries.
 
-In a list every set is first compared with two neighbours only.  Sets found highly similar
+Every set is first compared with two sets only, those that most often stand before it.  Sets found highly similar
 to a smaller one, their pivot, form its block, and later answers are derived from the
 pivot's: the overlap of two members exceeds the overlap of their pivots by no more than
 what each has beyond its pivot.  Pairs of blocks are compared through their pivots once, if
@@ -35,6 +35,8 @@ PERCENT = 75
 CELLS = 1 << 16
 #: Cells of a set's sketch, and the largest set that one byte a cell is enough for.
 SKETCH_CELLS, SKETCH_SIZE = 256, 8192
+#: Sets that each set is compared with first; all others are met through blocks.
+NEIGHBOURS = 2
 #: Lists of shingles this many times as frequent as the mean are dealt out over several tasks.
 HOT = 4
 
@@ -125,14 +127,16 @@ def index_lists(found: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(lists: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of every entry with its list's first and the one before it."""
+    """Pairs (a, b) of every set b with the NEIGHBOURS sets a that most often come first or just before it in its lists."""
     heads = lists.filter("salt > 0 AND prev IS NULL")
     tops = heads.groupBy("token").agg(F.min("first").alias("top"))
     heads = heads.join(tops, "token").select("sid", "size", "pos", F.col("top").alias("o"))
     near = lists.filter("prev IS NOT NULL").select("sid", "size", "pos", F.explode(F.array("first", "prev")).alias("o"))
     left = F.least(F.col("size") - F.col("pos"), F.col("o.size") - F.col("o.pos"))
     pairs = near.unionByName(heads).filter((F.col("sid") != F.col("o.sid")) & enough(left, F.col("size") + F.col("o.size")))
-    return pairs.select(F.col("o.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = pairs.groupBy(F.col("o.sid").alias("a"), F.col("sid").alias("b")).count()
+    best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEIGHBOURS).select("a", "b")
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame, encode: Callable[[np.ndarray], bytes], compare: Callable[[bytes, bytes], int]) -> DataFrame:
