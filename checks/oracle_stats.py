@@ -215,7 +215,7 @@ BODIES = {
         CASE WHEN b.receita > 0 THEN CAST(CAST((a.receita - b.receita) / b.receita AS NUMERIC) AS DOUBLE) END AS yoy_growth
         FROM months a LEFT JOIN months b ON b.mes = CAST(a.mes - INTERVAL 12 MONTH AS DATE)""",
     "round_fields": STATES
-    + """SELECT * REPLACE (CAST(receita AS DOUBLE) AS receita, round_even(CAST(frete_percentual AS DOUBLE) * 100, 0) / 100 AS frete_percentual)
+    + """SELECT * REPLACE (CAST(receita AS DOUBLE) AS receita, CAST(printf('%.2f', CAST(frete_percentual AS DOUBLE)) AS DOUBLE) AS frete_percentual)
         FROM states""",
     "row_count_drift": " UNION ALL ".join(
         f"""SELECT '{name}' AS tabela, count(*) AS linhas, CAST({rows} AS BIGINT) AS esperado,

@@ -27,9 +27,20 @@ def round_double(value: Column, digits: int) -> Column:
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Round a double half to even, as Python's ``round`` does."""
-    scale = float(10**digits)
-    return F.rint(value * scale) / F.lit(scale)
+    """Round a double as Python's ``round`` does: by its exact binary value, ties to even.
+
+    The product with the power of ten is itself rounded, so where it seems to be a tie the
+    sign of its error decides; the error is exact, from factors split in halves.
+    """
+    scale = F.lit(float(10**digits))
+    product = value * scale
+    wide = value * F.lit(2.0**27 + 1)
+    high = wide - (wide - value)
+    error = (high * scale - product) + (value - high) * scale
+    whole = F.floor(product).cast("double")
+    tie = product - whole == 0.5
+    rounded = F.when(tie & (error > 0), whole + 1).when(tie & (error < 0), whole).otherwise(F.rint(product))
+    return F.when(F.abs(product) < F.lit(2.0**52), rounded / scale).otherwise(value)
 
 
 def numeric(value: Column, digits: int) -> Column:

@@ -24,10 +24,6 @@ CATEGORY_NAMES = [
 ESTIMATE_DAYS = 30
 APPROVAL_HOURS = 13
 
-# Inputs up to this size are spread over the cores whatever their file layout.
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
 # Schemas already read from file footers, so that a session reads each of them once.
 _SCHEMAS: dict[str, T.StructType] = {}
 
@@ -73,20 +69,8 @@ class StarTables:
         return self._opened[name]
 
     def lines(self) -> DataFrame:
-        """Line items; a small file of few row groups is handed to all cores by order.
-
-        One row group is one scan task, which would also do all casts and partial
-        sums alone.  Large inputs have many splits and stay as they are, reduced
-        on the map side before any shuffle.
-        """
-        lines = self.raw("lineitem")
-        cores = self.spark.sparkContext.defaultParallelism
-        small = self._bytes("lineitem") <= SPREAD_BYTES
-        return lines.repartition(cores, "l_orderkey") if small and cores > 1 else lines
-
-    def _bytes(self, name: str) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        """Line items, reduced on the map side before any shuffle."""
+        return self.raw("lineitem")
 
     def _status(self) -> F.Column:
         code = F.col("o_orderstatus")

@@ -80,3 +80,14 @@ def test_bucket_label_bounds_and_null(spark):
     rows = spark.createDataFrame([(-5,), (0,), (1,), (3,), (4,), (None,)], "x INT")
     labels = [r[0] for r in rows.select(S.bucket_label(F.col("x"), buckets, "high")).collect()]
     assert labels == ["low", "low", "mid", "mid", "high", "high"]
+
+
+def test_round_half_even_equals_python(spark):
+    import random
+
+    rng = random.Random(7)
+    values = [2.675, 1.115, 0.125, -2.675, 0.375, 1e300, 5e-324, 2.0**60, 0.0, *(rng.randrange(10**6) / 1000 for _ in range(3000))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.round_half_even(F.col("x"), 2).alias("y"))
+    assert all(r["y"] == round(r["x"], 2) for r in rows.collect())
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double")
+    assert str([r[0] for r in odd.select(S.round_half_even(F.col("x"), 2)).collect()]) == "[None, inf, nan]"
