@@ -269,7 +269,10 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in in_slices(batches):
-            texts = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+            texts = [bpe.decode(flat[a:b]) for a, b in pairwise(ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
