@@ -8,8 +8,10 @@ for the threshold are skipped, first as whole blocks of entries.
 Every set is first compared with two sets only, those that most often stand before it.  Sets found highly similar
 to a smaller one, their pivot, form its block, and later answers are derived from the
 pivot's: the overlap of two members exceeds the overlap of their pivots by no more than
-what each has beyond its pivot.  Pairs of blocks are compared through their pivots once, if
-they are not yet connected, and members only where that bound leaves the answer open.
+what each has beyond its pivot.  Blocks of different components are first compared with a
+few of the others in their lists, which joins fragments of one group in few rounds.  All pairs of
+blocks that are not yet connected are then compared through their pivots once, and members
+only where that bound leaves the answer open.
 So all links between different components are found, and a group of near copies costs
 about as much as its index lists are long.
 
@@ -37,6 +39,8 @@ CELLS = 1 << 16
 SKETCH_CELLS, SKETCH_SIZE = 256, 8192
 #: Sets that each set is compared with first; all others are met through blocks.
 NEIGHBOURS = 2
+#: Rounds that join fragments of one group through a few pairs; pairs that they leave are all compared after them.
+CROSS_ROUNDS = 4
 #: Lists of shingles this many times as frequent as the mean are dealt out over several tasks.
 HOT = 4
 
@@ -204,27 +208,48 @@ def members_of(links: DataFrame) -> DataFrame:
     return best.select(F.col("m").alias("sid"), F.col("best.p").alias("pivot"), F.col("best.n").alias("size"), F.col("best.extra").alias("extra"))
 
 
-def block_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of pivots whose blocks share a list, belong to two components and may hold a link."""
-    known = labels.select(F.col("node").alias("sid"), "component").join(members.select("sid", "pivot"), "sid", "left")
-    entries = lists.join(size_checked(durable(known)), "sid", "left")
+def blocks_of(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, pivot, pos, low, high): every block's first position and range of sizes in every list; a set without pivot is its own block."""
+    entries = lists.join(size_checked(members.select("sid", "pivot")), "sid", "left")
     blocks = entries.groupBy("token", F.coalesce("pivot", "sid").alias("pivot")).agg(
-        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.first(F.coalesce("component", "sid")).alias("part")
-    )
-    blocks = durable(blocks)
-    mixed = blocks.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("token")
-    blocks = durable(blocks.join(mixed, "token"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    left = F.least(F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos"))
-    may = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.part") != F.col("y.part"))
-        & (F.col("x.pivot") < F.col("y.pivot"))
-        & (F.col("x.high") * 100 >= F.col("y.low") * PERCENT)
-        & (F.col("y.high") * 100 >= F.col("x.low") * PERCENT)
-        & enough(left, F.col("x.low") + F.col("y.low"))
+        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high")
     )
-    return x.join(y, may).select(F.col("x.pivot").alias("a"), F.col("y.pivot").alias("b")).distinct()
+    return durable(blocks)
+
+
+def mixed_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of lists that hold several components, with their component `part` and each list's outermost blocks `x` and `y`."""
+    known = blocks.join(size_checked(labels.select(F.col("node").alias("pivot"), F.col("component").alias("part"))), "pivot", "left")
+    known = known.withColumn("part", F.coalesce("part", "pivot"))
+    block = F.struct("part", "pivot", "pos", "low", "high")
+    ends = known.groupBy("token").agg(F.min(block).alias("x"), F.max(block).alias("y")).filter("x.part <> y.part")
+    return durable(known.join(ends, "token"))
+
+
+def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether blocks of two components that share a list may hold a link, by sizes and positions."""
+    left = F.least(x("high") - x("pos"), y("high") - y("pos"))
+    sizes = (x("high") * 100 >= y("low") * PERCENT) & (y("high") * 100 >= x("low") * PERCENT)
+    return (x("part") != y("part")) & sizes & enough(left, x("low") + y("low"))
+
+
+def cross_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every pivot with the NEIGHBOURS pivots of other components that are most often a list's outermost."""
+    one = lambda c: F.col(c)
+    other = lambda c: F.col(f"o.{c}")
+    rows = mixed.withColumn("o", F.when(F.col("part") == F.col("x.part"), F.col("y")).otherwise(F.col("x")))
+    pairs = rows.filter(may_link(one, other)).groupBy(F.col("o.pivot").alias("a"), F.col("pivot").alias("b")).count()
+    best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    near = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEIGHBOURS)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def block_pairs(mixed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of pivots whose blocks share a list, belong to two components and may hold a link."""
+    x, y = mixed.alias("l"), mixed.alias("r")
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    may = (F.col("l.token") == F.col("r.token")) & (F.col("l.pivot") < F.col("r.pivot")) & may_link(of("l"), of("r"))
+    return x.join(y, may).select(F.col("l.pivot").alias("a"), F.col("r.pivot").alias("b")).distinct()
 
 
 def open_pairs(compared: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,7 +301,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same_id = members.filter("doc_id <> sid").select(F.col("sid").alias("a"), F.col("doc_id").alias("b"))
     repeated = keep_rows(same_id, members.filter("doc_id = sid").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi")
     links = near.select("a", "b").union(repeated.select("a", "b"))
-    compared = overlaps(block_pairs(lists, pivots, components(links)), single)
+    blocks, labels = blocks_of(lists, pivots), components(links)
+    for _ in range(CROSS_ROUNDS):
+        found = linked(overlaps(cross_pairs(mixed_blocks(blocks, labels)), single))
+        if found.isEmpty():
+            break
+        links = durable(links.union(found.select("a", "b")))
+        labels = components(links)
+    compared = overlaps(block_pairs(mixed_blocks(blocks, labels)), single)
     links = durable(links.union(linked(compared).select("a", "b")))
     labels = components(links)
     more = durable(open_pairs(compared, pivots, labels))
