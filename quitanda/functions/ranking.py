@@ -14,18 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.session import durable
 
-# Up to this many narrow rows one task sorts faster than a range exchange does.
-SINGLE_TASK_ROWS = 1_000_000
-
 _INDEX_BITS = 33
 _PART, _INDEX = "_part", "_index"
 
 
-def fits_one_task(df: DataFrame, limit: int = SINGLE_TASK_ROWS) -> bool:
-    """Whether ``df`` is small enough for a plain global window."""
-    return df.count() <= limit
-
-
 def _range_sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` sorted across partitions, each row with its partition and index in it.
 

@@ -8,8 +8,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.functions.ranking import (
-    SINGLE_TASK_ROWS,
-    fits_one_task,
     quantiles,
     row_numbers,
     tile_bounds,
@@ -120,22 +118,7 @@ def _score_key(measure: str) -> Column:
     return F.coalesce(value.cast(NUMERIC), F.lit(Decimal("999999999999999.999")).cast(NUMERIC))
 
 
-def _scores_by_window(metrics: DataFrame) -> DataFrame:
-    """Scores by one sort per measure in one task, for inputs of a proven small size."""
-    tie = F.col("customer_unique_id").asc_nulls_last()
-
-    def tile(order: Column) -> Column:
-        return F.ntile(TILES).over(Window.orderBy(order, tie))
-
-    return metrics.select(
-        "*",
-        tile(F.col("recency").desc_nulls_last()).alias("r_score"),
-        tile(F.col("frequency").asc_nulls_last()).alias("f_score"),
-        tile(F.col("monetary").asc_nulls_last()).alias("m_score"),
-    )
-
-
-def _scores_by_bounds(metrics: DataFrame) -> DataFrame:
+def quintile_scores(metrics: DataFrame) -> DataFrame:
     """Scores by the first row of every tile: one range exchange serves all measures."""
     metrics = durable(metrics)
     ranked = row_numbers(_measure_rows(metrics, _score_key), ["key", "customer_unique_id"], ["measure"])
@@ -148,16 +131,9 @@ def _scores_by_bounds(metrics: DataFrame) -> DataFrame:
     return metrics.select("*", *(score(m).alias(f"{m[0]}_score") for m in MEASURES))
 
 
-def rfm_scores(tables: Tables, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Measures, quintile scores and segment of every person; ties go by person id.
-
-    The number of customers bounds the number of scored people and decides how
-    the quintiles are found.
-    """
-    metrics = customer_metrics(tables)
-    small = fits_one_task(tables["customers"], single_task_rows)
-    scored = _scores_by_window(metrics) if small else _scores_by_bounds(metrics)
-    return scored.withColumn("segmento", segment_of())
+def rfm_scores(tables: Tables) -> DataFrame:
+    """Measures, quintile scores and segment of every person; ties go by person id."""
+    return quintile_scores(customer_metrics(tables)).withColumn("segmento", segment_of())
 
 
 def segment_profile(scores: DataFrame) -> DataFrame:
@@ -186,19 +162,14 @@ def segment_profile(scores: DataFrame) -> DataFrame:
     )
 
 
-def rfm_segments(tables: Tables, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def rfm_segments(tables: Tables) -> DataFrame:
     """Segment profile over ``rfm_scores``."""
-    return segment_profile(rfm_scores(tables, single_task_rows))
-
+    return segment_profile(rfm_scores(tables))
 
-def summarize_measures(metrics: DataFrame, small: bool) -> DataFrame:
-    """Extremes, mean, spread and quartiles of each measure.
 
-    Small inputs use the exact ``percentile`` aggregate; it keeps every distinct
-    value of a measure in one task, so large ones read the quartiles off ranks.
-    """
-    metrics = metrics if small else durable(metrics)
-    rows = _measure_rows(metrics, _value_key).filter(F.col("key").isNotNull())
+def summarize_measures(metrics: DataFrame) -> DataFrame:
+    """Extremes, mean, spread and quartiles of each measure, the quartiles read off ranks."""
+    rows = _measure_rows(durable(metrics), _value_key).filter(F.col("key").isNotNull())
     key = F.col("key").cast("double")
     points = [0.25, 0.5, 0.75]
     base = [
@@ -207,13 +178,8 @@ def summarize_measures(metrics: DataFrame, small: bool) -> DataFrame:
         F.avg(key).alias("media"),
         F.stddev_samp(key).alias("std"),
     ]
-    if small:
-        stats = rows.groupBy("measure").agg(*base, F.percentile(key, points).alias("quantiles"))
-    else:
-        ranked = row_numbers(rows, ["key", "customer_unique_id"], ["measure"])
-        stats = rows.groupBy("measure").agg(*base).join(
-            quantiles(ranked, "key", ["measure"], points), "measure"
-        )
+    ranked = row_numbers(rows, ["key", "customer_unique_id"], ["measure"])
+    stats = rows.groupBy("measure").agg(*base).join(quantiles(ranked, "key", ["measure"], points), "measure")
     q1, median, q3 = (F.get("quantiles", F.lit(i)) for i in range(3))
     return stats.select(
         "measure",
@@ -232,9 +198,9 @@ def summarize_measures(metrics: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def rfm_summary_stats(tables: Tables, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def rfm_summary_stats(tables: Tables) -> DataFrame:
     """Summary of each measure over all scored people."""
-    return summarize_measures(customer_metrics(tables), fits_one_task(tables["customers"], single_task_rows))
+    return summarize_measures(customer_metrics(tables))
 
 
 def rfm_histograms(tables: Tables) -> DataFrame:

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quitanda.functions import probability
 from quitanda.functions.ranking import (
-    SINGLE_TASK_ROWS,
-    fits_one_task,
     quantiles,
     row_numbers,
     running_sums,
@@ -240,19 +238,14 @@ def describe_test_result(result: DataFrame, hypothesis: str) -> DataFrame:
     )
 
 
-def _mid_ranks(pairs: DataFrame, value: str, rank: str, small: bool) -> DataFrame:
+def _mid_ranks(pairs: DataFrame, value: str, rank: str) -> DataFrame:
     """Mean rank of every distinct value, from counts per value."""
     counts = pairs.groupBy(value).agg(F.sum("weight").alias("rows"))
-    if small:
-        order = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counts.withColumn("before_rows", F.coalesce(F.sum("rows").over(order), F.lit(0)))
-    else:
-        ranked = running_sums(counts, [value], ["rows"])
+    ranked = running_sums(counts, [value], ["rows"])
     return ranked.select(value, (F.col("before_rows") + (F.col("rows") + 1) / F.lit(2.0)).alias(rank))
 
 
-def spearman(df: DataFrame, x: Column, y: Column, weight: Column | None = None, alpha: float = ALPHA,
-             single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: Column, y: Column, weight: Column | None = None, alpha: float = ALPHA) -> DataFrame:
     """Spearman rank correlation over rows where both values are known.
 
     Rows are reduced to counts per value pair before anything is ranked.
@@ -267,8 +260,7 @@ def spearman(df: DataFrame, x: Column, y: Column, weight: Column | None = None,
         .agg(F.sum("weight").alias("weight"))
     )
     pairs = durable(pairs)
-    small = fits_one_task(pairs, single_task_rows)
-    ranked = pairs.join(_mid_ranks(pairs, "x", "rx", small), "x").join(_mid_ranks(pairs, "y", "ry", small), "y")
+    ranked = pairs.join(_mid_ranks(pairs, "x", "rx"), "x").join(_mid_ranks(pairs, "y", "ry"), "y")
     middle = (pairs.agg(F.sum("weight")).scalar() + 1) / F.lit(2.0)
     centred = ranked.select(
         F.col("weight").cast("double").alias("w"), (F.col("rx") - middle).alias("dx"), (F.col("ry") - middle).alias("dy")
@@ -333,18 +325,14 @@ def chi_square(df: DataFrame, a: str, b: str, alpha: float = ALPHA) -> DataFrame
     )
 
 
-def outliers_iqr(df: DataFrame, key: str, value: str, width: float = 1.5,
-                 single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def outliers_iqr(df: DataFrame, key: str, value: str, width: float = 1.5) -> DataFrame:
     """Rows beyond ``width`` interquartile ranges from the quartiles.
 
     ``key`` must be unique; with ``value`` it orders the rows totally.
     """
     rows = durable(df.select(key, F.col(value).alias("valor")).dropna(subset=["valor"]))
     points = [0.25, 0.75]
-    if fits_one_task(rows, single_task_rows):
-        found = rows.agg(F.percentile(F.col("valor").cast("double"), points).alias("quantiles"))
-    else:
-        found = quantiles(row_numbers(rows, ["valor", key]), "valor", [], points)
+    found = quantiles(row_numbers(rows, ["valor", key]), "valor", [], points)
     bounds = found.select(F.struct(F.get("quantiles", F.lit(0)).alias("q1"), F.get("quantiles", F.lit(1)).alias("q3")))
     limits = rows.withColumn("limits", bounds.scalar())
     q1, q3, x = F.col("limits.q1"), F.col("limits.q3"), F.col("valor").cast("double")

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 from conftest import by
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quitanda.operators import cohort, funnel, geo, quality, reviews, rfm, season
 
@@ -75,14 +75,21 @@ def test_fewer_customers_than_tiles(tables):
     assert rows["p1"]["f_score"] == 4
 
 
-def test_scores_by_bounds_equal_scores_by_window(spark, tables):
-    few = rfm.rfm_scores(tables)
-    assert by(rfm.rfm_scores(tables, single_task_rows=0), "customer_unique_id") == by(few, "customer_unique_id")
+def ntile_scores(people):
+    """The definition of the scores: NTILE over each measure, ties by person."""
+    order = {"recency": F.desc_nulls_last, "frequency": F.asc_nulls_last, "monetary": F.asc_nulls_last}
+    tile = lambda m: F.ntile(5).over(Window.orderBy(order[m](m), "customer_unique_id"))
+    return people.select("*", *(tile(m).alias(f"{m[0]}_score") for m in rfm.MEASURES))
+
+
+def test_quintile_scores_equal_ntile(spark, tables):
+    few = rfm.customer_metrics(tables)
+    assert by(rfm.quintile_scores(few), "customer_unique_id") == by(ntile_scores(few), "customer_unique_id")
     rows = [(f"p{i:04d}", (i * 37) % 50, 1 if i % 3 else 2 + i % 4, Decimal(i * 7919 % 1000) / 100) for i in range(1007)]
     people = spark.createDataFrame(
         rows, "customer_unique_id STRING, recency LONG, frequency LONG, monetary DECIMAL(18,2)"
     ).repartition(5)
-    assert by(rfm._scores_by_bounds(people), "customer_unique_id") == by(rfm._scores_by_window(people), "customer_unique_id")
+    assert by(rfm.quintile_scores(people), "customer_unique_id") == by(ntile_scores(people), "customer_unique_id")
 
 
 @pytest.mark.parametrize(
@@ -104,12 +111,13 @@ def test_segment_profile_sums_up(tables):
     assert sum(r["percentual"] for r in rows) == pytest.approx(100)
 
 
-def test_measure_summary_small_and_large_agree(spark, tables):
+def test_measure_summary(tables):
     metrics = rfm.customer_metrics(tables)
-    small, large = (by(rfm.summarize_measures(metrics, flag), "measure") for flag in (True, False))
-    assert small == large
-    recencies = sorted(r["recency"] for r in metrics.collect())
-    assert small["recency"]["mediana"] == (recencies[1] + recencies[2]) / 2
+    found = by(rfm.summarize_measures(metrics), "measure")
+    for measure in rfm.MEASURES:
+        exact = metrics.select(F.percentile(F.col(measure).cast("double"), [0.25, 0.5, 0.75])).first()[0]
+        row = found[measure]
+        assert [row["q1"], row["mediana"], row["q3"]] == pytest.approx(exact, abs=0.00501)
 
 
 def test_histograms_cover_everybody(tables):

@@ -115,7 +115,6 @@ def test_customer_metrics_with_a_hot_customer(hot):
     ids=lambda f: f.__name__.removeprefix("test_"),
 )
 def test_salted_joins_give_the_same_results(hot, monkeypatch, check):
-    monkeypatch.setattr(skew, "SMALL_BYTES", -1)
     monkeypatch.setattr(skew, "HOT_SHARE", 20)
     check(hot)
 
@@ -125,11 +124,11 @@ def test_salt_spreads_only_the_hot_key(hot, monkeypatch):
     monkeypatch.setattr(skew, "HOT_SHARE", 20)
     items, orders = frames["order_items"], frames["orders"]
     assert items.select(skew.hot_keys(items, "order_id")).first()[0] == [1]
-    joined = skew.salted_join(items, orders, "order_id", ["product_id"], small_bytes=-1)
+    joined = skew.salted_join(items, orders, "order_id", ["product_id"])
     salts = {r["order_id"]: r["n"] for r in joined.groupBy("order_id").agg(F.countDistinct("_salt").alias("n")).collect()}
     assert salts[1] > 10 and all(n == 1 for order, n in salts.items() if order != 1)
     assert joined.count() == items.join(orders, "order_id").count()
-    empty = skew.salted_join(items.limit(0), orders, "order_id", ["product_id"], small_bytes=-1)
+    empty = skew.salted_join(items.limit(0), orders, "order_id", ["product_id"])
     assert empty.count() == 0
 
 
