@@ -40,7 +40,7 @@ SKETCH_CELLS, SKETCH_SIZE = 256, 8192
 #: Sets that each set is compared with first; all others are met through blocks.
 NEIGHBOURS = 2
 #: Rounds that join fragments of one group through a few pairs; pairs that they leave are all compared after them.
-CROSS_ROUNDS = 4
+CROSS_ROUNDS = 2
 #: Lists of shingles this many times as frequent as the mean are dealt out over several tasks.
 HOT = 4
 
