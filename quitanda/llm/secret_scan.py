@@ -1,9 +1,11 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are long runs of key characters.  The forest sees their length, character
-transitions under counts of the whole corpus, how far common letter groups of the corpus
-(a dictionary below the word) cover them, signs of a path around them, and the
-neighbouring words.  It is trained on labelled findings; the registered query plants a
+Candidates are long runs of key characters and, whatever their length and characters,
+values given to a name with a secret word in it (name = value, name: value, name is value)
+and passwords in addresses (scheme://user:password@).  They may overlap; each is judged.
+The forest sees their length, character transitions under counts of the whole corpus, how
+far common letter groups of the corpus (a dictionary below the word) cover them, signs of
+a path around them, and the neighbouring words.  It is trained on labelled findings; the registered query plants a
 bounded number of them, secrets and look-alikes, between words of the corpus.
 """
 
@@ -28,6 +30,12 @@ from quitanda.llm.ngrams import gram_counts
 from quitanda.llm.words import STEP, windows
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*")
+#: A name and the sign that gives it a value; a value in quotes or without; a password before the host of an address.
+HEAD = re.compile(r"(?<![\w.-])([\w.-]++)[\"'`\])]*+(?:\s*+[=:]{1,3}+>?|\s++is(?=\s))\s*+")
+QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)++)"|\'((?:[^\'\\\n]|\\.)++)\'|`([^`\n]++)`')
+UNQUOTED, IN_QUERY = re.compile(r"[\"'`]?(\S+)"), re.compile(r"([^\s&#\"'<>]+)")
+ADDRESS = re.compile(r"://[^\s:/@?#\"'<>]*+:([^\s/?#\"'<>]+)@")
+CLOSING = ",;)]}>.'\"`"
 MASK = "[SECRET]"
 CONTEXT_CHARS = 64
 #: Labelled findings that the query plants, and documents whose words surround them.
@@ -37,7 +45,7 @@ CUTOFF = 0.5
 TRANSITIONS, GROUPS = 1 << 16, 1 << 16
 FEATURES = (
     "length", "entropy", "class_changes", "transition", "dictionary", "digits", "capitals", "hexadecimal",
-    "path_marks", "assigned", "secret_words", "reference_words", "known_start",
+    "path_marks", "assigned", "secret_words", "reference_words", "known_start", "named", "in_address", "symbols", "blanks",
 )
 
 #: Words beside secrets, words beside harmless digests and names, starts of issued keys.
@@ -46,6 +54,38 @@ REFERENCE_WORDS = ("commit", "sha", "md5", "checksum", "digest", "etag", "uuid",
 KNOWN_STARTS = ("AKIA", "ghp_", "gho_", "ghs_", "sk-", "sk_", "pk_", "xox", "eyJ", "AIza", "glpat-")
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NAME_BEFORE = re.compile(r"([\w.-]+)[\"'`\])]*(?:\s*[=:]{1,3}>?|\s+is)\s*[\"'`]?$")
+_USER_BEFORE = re.compile(r"://[^\s:/@?#]*:$")
+
+
+def secret_name(name: str) -> bool:
+    """Whether a part of a name, as in db_password, dbPassword or DBPASSWORD, is a secret word or ends in a long one."""
+    long = tuple(w for w in SECRET_WORDS if len(w) > 4)
+    parts = [w.lower() for w in _PART.findall(name)]
+    return any(w in SECRET_WORDS or w.removesuffix("s") in SECRET_WORDS or w.endswith(long) for w in parts)
+
+
+def candidate_spans(text: str) -> list[tuple[int, int]]:
+    """Distinct (start, end) of all candidates of a text, in order; they may overlap.
+
+    A value without quotes ends at a blank, less closing marks, and in the query of an
+    address at the next parameter; a password in an address has no '/', '?' or '#'.
+    """
+    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    spans.update(m.span(1) for m in ADDRESS.finditer(text))
+    for head in HEAD.finditer(text):
+        if not secret_name(head[1]):
+            continue
+        queried = text[max(0, head.start() - 1) : head.start()] in ("?", "&")
+        value = (not queried and QUOTED.match(text, head.end())) or (IN_QUERY if queried else UNQUOTED).match(text, head.end())
+        if value:
+            a, b = value.span(value.lastindex)
+            if value.re is UNQUOTED:
+                b = a + len(value[1].rstrip(CLOSING))
+            if a < b:
+                spans.add((a, b))
+    return sorted(spans)
 
 
 def corpus_grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +151,12 @@ def features_of(candidate: str, before: str, after: str, tables: CorpusTables) -
     left, right = before.split(" ")[-1], re.split(r"\s", after, maxsplit=1)[0]
     near = {w.lower() for w in _WORD.findall(before)[-3:] + _WORD.findall(after)[:1]}
     ahead = before.rstrip(" \"'`")
+    name = _NAME_BEFORE.search(before)
     return [
         float(np.log2(len(raw))),
         float(-(shares * np.log2(shares)).sum()),
         sum(a != b for a, b in pairwise(kinds)) / len(raw),
-        float(tables.transition[raw[:-1], raw[1:]].mean()),
+        float(tables.transition[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else 0.0,
         float(covered.mean()),
         kinds.count(2) / len(raw),
         kinds.count(1) / len(raw),
@@ -125,6 +166,10 @@ def features_of(candidate: str, before: str, after: str, tables: CorpusTables) -
         float(any(w in near for w in SECRET_WORDS)),
         float(any(w in near for w in REFERENCE_WORDS)),
         float(candidate.startswith(KNOWN_STARTS)),
+        float(name is not None and secret_name(name[1])),
+        float(_USER_BEFORE.search(before) is not None and after.startswith("@")),
+        kinds.count(3) / len(kinds),
+        float(any(c.isspace() for c in candidate)),
     ]
 
 
@@ -138,9 +183,8 @@ def candidates(docs: DataFrame, tables: CorpusTables, text: str = "text") -> Dat
             rows = []
             for t in texts.to_pylist():
                 found = []
-                for m in CANDIDATE.finditer(t or ""):
-                    a, b = m.span()
-                    values = features_of(m[0], t[max(0, a - CONTEXT_CHARS) : a], t[b : b + CONTEXT_CHARS], tables)
+                for a, b in candidate_spans(t or ""):
+                    values = features_of(t[a:b], t[max(0, a - CONTEXT_CHARS) : a], t[b : b + CONTEXT_CHARS], tables)
                     found.append({"start": a, "length": b - a, "values": values})
                 rows.append(found)
             yield pa.array(rows, kind)
@@ -153,11 +197,49 @@ def _random_text(rng: random.Random, alphabet: str, n: int) -> str:
     return "".join(rng.choice(alphabet) for _ in range(n))
 
 
+def _planted_password(rng: random.Random, words: list[str]) -> str:
+    """A short secret: mixed characters, or a word with digits and marks in it."""
+    marks = "!@#$%^&*~?+-_"
+    if rng.random() < 0.5:
+        keys = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789" + marks[: rng.choice((0, 13))]
+        return _random_text(rng, keys, rng.randint(6, 24))
+    word = rng.choice(words)[:10]
+    word = word.capitalize() if rng.random() < 0.6 else word
+    if rng.random() < 0.7:
+        word = word.translate(str.maketrans("oaeis", "04315"))
+    return word + _random_text(rng, marks, rng.randint(0, 2)) + _random_text(rng, "0123456789", rng.randint(1, 5)) + _random_text(rng, marks, rng.randint(0, 2))
+
+
+def _planted_values(rng: random.Random, words: list[str], names: tuple[str, ...], label: int) -> str:
+    """Text with a short secret given to a name or in an address, or with a harmless value there."""
+    name, word = rng.choice((*names, "passwd", "pwd", "dbPassword", "DB_PASSWORD")), lambda: rng.choice(words)
+    if label:
+        value = _planted_password(rng, words)
+        if rng.random() < 0.3:
+            return f"{rng.choice(('postgres', 'https', 'mysql', 'redis', 'ftp'))}://{rng.choice((word().lower(), 'user', ''))}:{value.replace('?', '.').replace('#', '.')}@{word().lower()}.example.com/{word()}"
+        if rng.random() < 0.1:
+            return f"https://{word().lower()}.example.com/{word()}?{name}={value.replace('&', '.').replace('#', '.')}&{word()}={word()}"
+        return rng.choice(("{} = {}", "{}={}", "{}: {}", '{} = "{}"', "{}='{}'", '"{}": "{}"', "{} is {}")).format(name, value)
+    value = rng.choice((
+        word, word, lambda: f"{word()} {word()}", lambda: word().capitalize(), lambda: str(rng.randint(0, 9999)),
+        lambda: f"{word().lower()}({rng.choice(('', word().lower()))})", lambda: f"{word().lower()}.{word().lower()}", lambda: f"${{{word().upper()}}}", lambda: f"<{word().lower()}>",
+        lambda: f"/{word().lower()}/{word().lower()}", lambda: rng.choice("*x.-") * rng.randint(3, 12), lambda: rng.choice(("None", "null", "true", "false", "required", "public")),
+    ))()
+    kind = rng.random()
+    if kind < 0.1:
+        return f"http://{word().lower()}.example.com:{rng.randint(80, 9999)}/{word()} at {word()}@{word().lower()}.com"
+    if kind < 0.25:
+        return f'{name}: "{" ".join(word() for _ in range(rng.randint(2, 9)))}"'
+    return rng.choice(("{} = {}", "{}={}", "{}: {}", '{} = "{}"', '"{}": "{}"', "{} is {}")).format(name, value)
+
+
 def plant_findings(words: list[str], n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
     """n labelled findings (before, candidate, after, is_secret) among the given words.
 
     Half are secrets of several makes, assigned to a name or bare; the others are strings of
-    the same looks in harmless places, and long words, numbers, paths and addresses.
+    the same looks in harmless places, and long words, numbers, paths and addresses.  A
+    third are short: passwords of 6 characters and more beside a name or in an address, and
+    words, numbers and code in their places.
     """
     rng, words = random.Random(seed), words or ["text"]
     hexes, keys = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -182,6 +264,14 @@ def plant_findings(words: list[str], n: int = FINDINGS, seed: int = SEED) -> lis
     )
     rows = []
     for i in range(n):
+        if rng.random() < 1 / 3:
+            label = 1 - i % 2
+            text, tail = _planted_values(rng, words, names, label), f" {some(2)}"
+            lead = f"{some(3)} "
+            inside = [(a, b) for a, b in candidate_spans(lead + text + tail) if a >= len(lead) and b <= len(lead) + len(text)]
+            short = [s for s in inside if not CANDIDATE.fullmatch((lead + text)[s[0] : s[1]])] or inside
+            rows.extend((f"{lead}{text}"[:a], f"{lead}{text}"[a:b], f"{lead}{text}{tail}"[b:], label) for a, b in short[:1])
+            continue
         if i % 2:
             lead, body = rng.choice(harmless)()
             label = 0
@@ -231,13 +321,15 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[RandomForestClassification
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """A text with the spans (start, length) replaced by MASK, from the last to the first."""
-    ordered = F.reverse(F.array_sort(spans))
-    return F.aggregate(
-        ordered,
-        text,
-        lambda done, s: F.concat(F.substr(done, F.lit(1), s.start.cast("int")), F.lit(MASK), F.substr(done, (s.start + s.length + 1).cast("int"))),
-    )
+    """A text with the spans (start, length) replaced by MASK; spans that overlap are one."""
+
+    def step(done: Column, s: Column) -> Column:
+        between = F.substr(text, (done.at + 1).cast("int"), (s.start - done.at).cast("int"))
+        out = F.when(s.start >= done.at, F.concat(done.out, between, F.lit(MASK))).otherwise(done.out)
+        return F.struct(out.alias("out"), F.greatest(done.at, s.start + s.length).alias("at"))
+
+    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(F.array_sort(spans), first, step, lambda done: F.concat(done.out, F.substr(text, (done.at + 1).cast("int"))))
 
 
 def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
