@@ -30,6 +30,8 @@ from quitanda.llm.ngrams import gram_counts
 from quitanda.llm.words import STEP, windows
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*")
+#: Names with = in front of a run; the = at the end of a run are padding.
+FRONT = re.compile(r"(?:[A-Za-z0-9+/_.-]++=)+(?!=|$)")
 #: A name and the sign that gives it a value; a value in quotes or without; a password before the host of an address.
 HEAD = re.compile(r"(?<![\w.-])([\w.-]++)[\"'`\])]*+(?:\s*+[=:]{1,3}+>?|\s++is(?=\s))\s*+")
 QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)++)"|\'((?:[^\'\\\n]|\\.)++)\'|`([^`\n]++)`')
@@ -69,10 +71,16 @@ def secret_name(name: str) -> bool:
 def candidate_spans(text: str) -> list[tuple[int, int]]:
     """Distinct (start, end) of all candidates of a text, in order; they may overlap.
 
+    Of name=run the run is a candidate, however short, and the name if it is a run itself.
     A value without quotes ends at a blank, less closing marks, and in the query of an
     address at the next parameter; a password in an address has no '/', '?' or '#'.
     """
-    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    spans = set()
+    for m in CANDIDATE.finditer(text):
+        front = FRONT.match(m[0])
+        if front:
+            spans.update((m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[^=]+", front[0]) if CANDIDATE.fullmatch(x[0]))
+        spans.add((m.start() + (front.end() if front else 0), m.end()))
     spans.update(m.span(1) for m in ADDRESS.finditer(text))
     for head in HEAD.finditer(text):
         if not secret_name(head[1]):
@@ -234,7 +242,7 @@ def _planted_values(rng: random.Random, words: list[str], names: tuple[str, ...]
 
 
 def plant_findings(words: list[str], n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """n labelled findings (before, candidate, after, is_secret) among the given words.
+    """Labelled findings (before, candidate, after, is_secret): all candidates of n texts of the given words.
 
     Half are secrets of several makes, assigned to a name or bare; the others are strings of
     the same looks in harmless places, and long words, numbers, paths and addresses.  A
@@ -264,25 +272,22 @@ def plant_findings(words: list[str], n: int = FINDINGS, seed: int = SEED) -> lis
     )
     rows = []
     for i in range(n):
+        label, before = 1 - i % 2, f"{some(3)} "
         if rng.random() < 1 / 3:
-            label = 1 - i % 2
-            text, tail = _planted_values(rng, words, names, label), f" {some(2)}"
-            lead = f"{some(3)} "
-            inside = [(a, b) for a, b in candidate_spans(lead + text + tail) if a >= len(lead) and b <= len(lead) + len(text)]
-            short = [s for s in inside if not CANDIDATE.fullmatch((lead + text)[s[0] : s[1]])] or inside
-            rows.extend((f"{lead}{text}"[:a], f"{lead}{text}"[a:b], f"{lead}{text}{tail}"[b:], label) for a, b in short[:1])
-            continue
-        if i % 2:
-            lead, body = rng.choice(harmless)()
-            label = 0
-        else:
-            body, label = rng.choice(secrets)(), 1
+            lead, body, close = "", _planted_values(rng, words, names, label), ""
+        elif label:
+            body = rng.choice(secrets)()
             lead = rng.choice(names) + rng.choice((" = ", "=", ": ", ' = "', '="', " is "))
-            if body.startswith(KNOWN_STARTS) and rng.random() < 0.3:
-                lead = ""
-        found = CANDIDATE.search(body)
-        if found:
-            rows.append((f"{some(3)} {lead}{body[: found.start()]}", found[0], f"{body[found.end() :]}{rng.choice(('', chr(34)))} {some(2)}", label))
+            lead = lead.upper() if rng.random() < 0.2 else lead
+            lead = "" if rng.random() < 0.3 else lead
+            close = '"' if lead.endswith('"') else rng.choice(("", '"', ","))
+        else:
+            lead, body = rng.choice(harmless)()
+            close = rng.choice(("", '"'))
+        text, end = f"{before}{lead}{body}{close} {some(2)}", len(before) + len(lead) + len(body)
+        # Cut as a scan cuts it, so that training sees what it will be asked about.
+        inside = [(a, b) for a, b in candidate_spans(text) if a < end and b > len(before) + (len(lead) if label else 0)]
+        rows.extend((text[:a], text[a:b], text[b:], label) for a, b in inside)
     return rows
 
 

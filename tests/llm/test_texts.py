@@ -201,3 +201,40 @@ def test_overlapping_spans_are_masked_once(spark):
     spans = [(2, 3), (3, 6), (4, 1), (12, 2)]
     frame = spark.createDataFrame([("0123456789abcdefé", spans)], "text string, spans array<struct<start: bigint, length: bigint>>")
     assert frame.select(secret_scan.masked(F.col("text"), F.col("spans"))).first()[0] == f"01{secret_scan.MASK}9ab{secret_scan.MASK}efé"
+
+
+def makes_of_secrets(rng):
+    """One (text, secret) of each make."""
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexes, keys = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = {
+        "hex, token=": ("alpha token={} beta", some(hexes, 40)),
+        "key, API_KEY=": ("run API_KEY={} beta", some(keys, 32)),
+        "hex, quoted": ('alpha secret = "{}" beta', some(hexes, 64)),
+        "key, bare": ("alpha beta {} gamma", some(keys, 40)),
+        "known start, bare": ("alpha beta {} gamma", "ghp_" + some(keys, 36)),
+        "password, quoted": ('alpha password = "{}" beta', some(keys + "!@#$%^&*", 14)),
+        "password, address": ("see https://beta:{}@gamma.example.com/iota", some(keys + "!$%^&*", 12)),
+    }
+    return {name: (form.format(secret), secret) for name, (form, secret) in make.items()}
+
+
+def test_names_are_cut_off_runs():
+    for text in ("token=24be64439e3e49cf46b2d7c90f3602a3", "API_KEY=AbC0123456789xyz==", "a=DB_LOGIN=Xy7fQ2mPq9"):
+        secret = text[text.index("=", 2) + 1 :]
+        assert [text[a:b] for a, b in secret_scan.candidate_spans(text)] == [secret]
+    long = "0123456789abcdef01=24be64439e3e49cf"
+    assert [long[a:b] for a, b in secret_scan.candidate_spans(long)] == long.split("=")
+
+
+def test_recall_of_each_make_of_secret(spark, docs):
+    tables = secret_scan.corpus_tables(docs)
+    forest = secret_scan.train(spark, secret_scan.plant_findings(secret_scan.context_words(docs), 2000, seed=1), tables)
+    rng, rows = random.Random(9), []
+    for _ in range(40):
+        rows += [(len(rows) + k, text, name, text.index(secret), len(secret)) for k, (name, (text, secret)) in enumerate(makes_of_secrets(rng).items())]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, make string, at long, n long")
+    whole = F.col("is_secret") & (F.col("start") == F.col("at")) & (F.col("length") == F.col("n"))
+    found = secret_scan.scan_secrets(texts, forest, tables).filter(whole).select("doc_id", "make").distinct().groupBy("make").count()
+    recall = {name: 0.0 for name in makes_of_secrets(rng)} | {r["make"]: r["count"] / 40 for r in found.collect()}
+    assert min(recall.values()) >= 0.9, recall
