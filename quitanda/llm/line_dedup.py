@@ -39,11 +39,11 @@ def hashed(key: str) -> list[Column]:
 
 
 def batch_run(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Keys of a batch with the number of rows that hold them and the largest id."""
+    """Keys of a batch with the number of distinct ids that hold them and the largest id."""
     keys = F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: F.length(x) >= min_chars), line_key))
     lines = docs.select(F.col(doc_id).cast("long").alias("id"), F.explode(keys).alias("key"))
-    counted = lines.filter(F.length("key") >= min_chars).select("id", *hashed("key")).groupBy(*HASH)
-    return counted.agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id"))
+    counted = lines.filter(F.length("key") >= min_chars).select("id", *hashed("key")).distinct().groupBy(*HASH)
+    return counted.agg(F.count("id").alias("n_docs"), F.max("id").alias("last_id"))
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
@@ -61,7 +61,10 @@ class LineRuns:
     levels: list[list[DataFrame]] = field(default_factory=list)
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Take in a batch; returns its run with `fresh`: whether no earlier run has the key."""
+        """Take in a batch; returns its run with `fresh`: whether no earlier run has the key.
+
+        Counts of batches add up to documents if no id is in two batches.
+        """
         run = batch_run(docs, doc_id, text, self.min_chars)
         earlier = [r for level in self.levels for r in level]
         fresh = F.lit(True)
@@ -96,18 +99,17 @@ def drop_repeated_lines(
     min_documents: int = MIN_DOCUMENTS,
     batches: int = 2,
 ) -> DataFrame:
-    """`docs` without lines whose key at least `min_documents` rows hold.
+    """`docs` without lines whose key at least `min_documents` documents hold.
 
     Such lines stay in the rows with the largest id that holds them.  Adds `n_lines`
     (before dropping), `n_dropped` and `kept_text`, replacing columns of these names.
-    Every row counts as a document, repeated rows too; a null text is one empty line; a
-    row without an id never is the last holder, and where no holder has an id all lines
-    stay.  An empty table gives no rows.
+    Rows that share an id are one document, rows without an id count as none and never are
+    the last holder; a null text is one empty line.  An empty table gives no rows.
     """
     docs = docs.withColumns({"_key": row_key(doc_id, text), "_id": F.col(doc_id).cast("long")})
     runs = LineRuns(min_chars=min_chars)
     for batch in range(batches):
-        runs.add(docs.filter(F.pmod(F.col("_key"), F.lit(batches)) == batch), "_id", text)
+        runs.add(docs.filter(F.pmod(F.xxhash64("_id"), F.lit(batches)) == batch), "_id", text)
     frequent = durable(runs.totals().filter((F.col("n_docs") >= min_documents) & F.col("last_id").isNotNull()))
     lines = docs.select("_key", "_id", F.posexplode(lines_of(text)).alias("place", "line"))
     lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line")))

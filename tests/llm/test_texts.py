@@ -38,6 +38,17 @@ def test_lines(docs, no_docs):
     assert drop_repeated_lines(no_docs).count() == 0
 
 
+def test_lines_are_counted_by_document(spark):
+    four, five = LINE + " of four documents", LINE + " of five documents"
+    rows = [(i, f"{four}\nend {i}") for i in (1, 2, 3, 4)] + [(2, f"{four}\nagain"), (4, f"{four}\nend 4"), (None, four), (None, four)]
+    rows += [(i, f"{five}\nend {i}") for i in (11, 12, 13, 14, 15)] + [(12, f"{five}\nagain")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for batches in (1, 2, 3):
+        out = sorted((r["doc_id"] or -1, r["n_dropped"], r["kept_text"]) for r in drop_repeated_lines(frame, batches=batches).collect())
+        gone = lambda i, t: i is not None and 11 <= i < 15
+        assert out == sorted((i or -1, int(gone(i, t)), t.split("\n", 1)[1] if gone(i, t) else t) for i, t in rows)
+
+
 def test_runs_compact_and_tell_new_keys(docs):
     runs = LineRuns(fanout=2)
     assert runs.add(docs.filter("doc_id < 22")).filter("fresh").count() > 0
