@@ -10,7 +10,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quitanda.llm import bpe, chat, jaccard_join, line_dedup, multi_index, packing, quality_rules, resample, secret_scan, token_files
+from quitanda.llm import (
+    alignment,
+    bpe,
+    chat,
+    jaccard_join,
+    line_dedup,
+    minhash_dedup,
+    multi_index,
+    packing,
+    quality_rules,
+    resample,
+    secret_scan,
+    spelling,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _SHIPPED = "_quitanda_shipped"
@@ -51,6 +65,9 @@ _ALL: tuple[Query, ...] = (
     packing.op8_pack,
     secret_scan.op9_secret_scan,
     line_dedup.op10_line_dedup,
+    alignment.op11_token_alignment,
+    spelling.op12_spelling_variants,
+    minhash_dedup.op13_minhash_dedup,
 )
 QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in _ALL}
 ORACLE: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
