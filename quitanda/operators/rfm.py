@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quitanda.functions.ranking import (
-    quantiles,
-    row_numbers,
-    tile_bounds,
-    tile_of,
-)
+from quitanda.functions.ranking import tile_of
+from quitanda.functions.selection import quantile_ranks, rows_at_ranks, series_sizes, tile_starts
 from quitanda.functions.semantics import NUMERIC, mean, money, percent, round_double
 from quitanda.operators.base import Tables, delivered_totals
 from quitanda.session import durable
@@ -102,10 +98,9 @@ def segment_of(scores: Sequence[str] = ("r_score", "f_score", "m_score")) -> Col
     return label.otherwise(F.lit(SEGMENT_OTHER))
 
 
-def _measure_rows(metrics: DataFrame, key: Callable[[str], Column]) -> DataFrame:
-    """One row per person and measure, with the measure's sort key."""
-    rows = F.array(*(F.struct(F.lit(m).alias("measure"), key(m).alias("key")) for m in MEASURES))
-    return metrics.select("customer_unique_id", F.inline(rows))
+def _thousandths(key: Column) -> Column:
+    """A measure's sort key as a whole number."""
+    return (key * 1000).cast("long")
 
 
 def _value_key(measure: str) -> Column:
@@ -119,14 +114,17 @@ def _score_key(measure: str) -> Column:
 
 
 def quintile_scores(metrics: DataFrame) -> DataFrame:
-    """Scores by the first row of every tile: one range exchange serves all measures."""
+    """Scores by the first row of every tile; these rows are found by counting, so no row is sorted."""
     metrics = durable(metrics)
-    ranked = row_numbers(_measure_rows(metrics, _score_key), ["key", "customer_unique_id"], ["measure"])
-    bounds = durable(tile_bounds(ranked, TILES, "key", "customer_unique_id", "measure"))
+    keys = {m: _thousandths(_score_key(m)) for m in MEASURES}
+    sizes = series_sizes(metrics, keys)
+    starts = {m: tile_starts(sizes[m][0], TILES) if m in sizes else [] for m in MEASURES}
+    found = rows_at_ranks(metrics, keys, starts, sizes, "customer_unique_id")
 
     def score(measure: str) -> Column:
-        starts = bounds.filter(F.col("measure") == measure).agg(F.first("bounds")).scalar()
-        return tile_of(starts, TILES, _score_key(measure), F.col("customer_unique_id"))
+        bounds = [found[measure][rank] for rank in starts[measure]]
+        rows = [F.struct(F.lit(key).cast("long"), F.lit(person).cast("string")) for key, person in bounds]
+        return tile_of(F.array(*rows), TILES, keys[measure], F.col("customer_unique_id")) if rows else F.lit(1)
 
     return metrics.select("*", *(score(m).alias(f"{m[0]}_score") for m in MEASURES))
 
@@ -168,31 +166,30 @@ def rfm_segments(tables: Tables) -> DataFrame:
 
 
 def summarize_measures(metrics: DataFrame) -> DataFrame:
-    """Extremes, mean, spread and quartiles of each measure, the quartiles read off ranks."""
-    rows = _measure_rows(durable(metrics), _value_key).filter(F.col("key").isNotNull())
-    key = F.col("key").cast("double")
+    """Extremes, mean, spread and quartiles of each measure; rows at the quartiles are found by counting."""
+    metrics = durable(metrics)
+    keys = {m: _thousandths(_value_key(m)) for m in MEASURES}
+    sizes = series_sizes(metrics, keys)
     points = [0.25, 0.5, 0.75]
-    base = [
-        F.min(key).alias("min"),
-        F.max(key).alias("max"),
-        F.avg(key).alias("media"),
-        F.stddev_samp(key).alias("std"),
-    ]
-    ranked = row_numbers(rows, ["key", "customer_unique_id"], ["measure"])
-    stats = rows.groupBy("measure").agg(*base).join(quantiles(ranked, "key", ["measure"], points), "measure")
-    q1, median, q3 = (F.get("quantiles", F.lit(i)) for i in range(3))
-    return stats.select(
+    places = {m: quantile_ranks(sizes[m][0], points) for m in sizes}
+    ranks = {m: sorted({r for low, _ in places[m] for r in (low, min(low + 1, sizes[m][0]))}) for m in sizes}
+    found = rows_at_ranks(metrics, keys, ranks, sizes)
+
+    def quantile(measure: str, low: int, weight: float) -> float:
+        below = found[measure][low][0] / 1000
+        return below + weight * (found[measure][min(low + 1, sizes[measure][0])][0] / 1000 - below)
+
+    quartiles = [(m, *(quantile(m, low, weight) for low, weight in places[m])) for m in sizes]
+    quartiles = metrics.sparkSession.createDataFrame(quartiles, "measure string, q1 double, median double, q3 double")
+    rows = F.array(*(F.struct(F.lit(m).alias("measure"), _value_key(m).cast("double").alias("key")) for m in MEASURES))
+    rows = metrics.select(F.inline(rows)).filter("key IS NOT NULL")
+    stats = rows.groupBy("measure").agg(F.min("key").alias("min"), F.max("key").alias("max"), F.avg("key").alias("media"), F.stddev_samp("key").alias("std"))
+    return stats.join(F.broadcast(quartiles), "measure").select(
         "measure",
         *(
-            round_double(value, 2).alias(name)
+            round_double(F.col(value), 2).alias(name)
             for name, value in (
-                ("min", F.col("min")),
-                ("max", F.col("max")),
-                ("media", F.col("media")),
-                ("mediana", median),
-                ("std", F.col("std")),
-                ("q1", q1),
-                ("q3", q3),
+                ("min", "min"), ("max", "max"), ("media", "media"), ("mediana", "median"), ("std", "std"), ("q1", "q1"), ("q3", "q3")
             )
         ),
     )
