@@ -121,9 +121,11 @@ def quintile_scores(metrics: DataFrame) -> DataFrame:
     starts = {m: tile_starts(sizes[m][0], TILES) if m in sizes else [] for m in MEASURES}
     found = rows_at_ranks(metrics, keys, starts, sizes, "customer_unique_id")
 
+    kind = metrics.schema["customer_unique_id"].dataType
+
     def score(measure: str) -> Column:
         bounds = [found[measure][rank] for rank in starts[measure]]
-        rows = [F.struct(F.lit(key).cast("long"), F.lit(person).cast("string")) for key, person in bounds]
+        rows = [F.struct(F.lit(key).cast("long"), F.lit(person).cast(kind)) for key, person in bounds]
         return tile_of(F.array(*rows), TILES, keys[measure], F.col("customer_unique_id")) if rows else F.lit(1)
 
     return metrics.select("*", *(score(m).alias(f"{m[0]}_score") for m in MEASURES))

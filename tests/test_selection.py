@@ -36,6 +36,18 @@ def test_rows_at_ranks_equal_a_sort(spark, monkeypatch, read, buckets):
     assert {n: {r: row[0] for r, row in keys_only[n].items()} for n in keys} == {n: {r: row[0] for r, row in found[n].items()} for n in keys}
 
 
+@pytest.mark.parametrize(("read", "buckets"), [(2048, 4096), (1, 2)])
+def test_numbers_as_ties(spark, monkeypatch, read, buckets):
+    monkeypatch.setattr(S, "READ_ROWS", read)
+    monkeypatch.setattr(S, "BUCKETS", buckets)
+    data = [(i % 3 // 2, i * 7919 % 10007 - 5000) for i in range(300)] + [(0, None)]
+    df = spark.createDataFrame(data, "x LONG, id LONG")
+    keys = {"x": F.col("x")}
+    found = S.rows_at_ranks(df, keys, {"x": [1, 2, 100, 201, 202, 301]}, S.series_sizes(df, keys), "id")
+    order = sorted(data, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    assert found["x"] == {rank: order[rank - 1] for rank in (1, 2, 100, 201, 202, 301)}
+
+
 def test_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(S, "READ_ROWS", 2)
     df = spark.createDataFrame([(1, "same")] * 20 + [(1, "samee")] * 5 + [(1, "")] * 4, "x LONG, id STRING")

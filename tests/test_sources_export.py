@@ -12,7 +12,7 @@ from quitanda.operators import cohort, season
 from quitanda.operators.clustering import Clustering
 from quitanda.plans import catalog, export, job
 from quitanda.schemas import TABLES, table_schema
-from quitanda.sources import csv_tables
+from quitanda.sources import csv_tables, quoted_csv
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,44 @@ def test_quoted_line_breaks_stay_in_one_row(spark, tmp_path):
     assert row["review_creation_date"] == datetime(2018, 1, 1)
 
 
+def awkward_csv(rows=400):
+    """Quoted line breaks, doubled quotes, commas, \\r\\n, blank lines and a last line without an end."""
+    texts = ["plain", 'a "quoted" word', "two\nlines", "three\n\n\"lines\",\nwith more", ", comma", "", "ends in quote\"", "\"", "é\n" * 5, "x" * 300]
+    made = [(f"r{i}", f"o{i % 7}", str(i % 5 + 1), texts[i % 3], texts[i % len(texts)]) for i in range(rows)]
+    quoted = lambda v: f'"{v.replace(chr(34), chr(34) * 2)}"' if any(c in v for c in '",\n') else v
+    lines = [",".join(map(quoted, row)) + ",2018-01-01 00:00:00," + ("\r" if i % 4 == 0 else "") for i, row in enumerate(made)]
+    lines.insert(9, "")
+    head = "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp"
+    return made, head + "\n" + "\n".join(lines)
+
+
+@pytest.mark.parametrize("size", ["1g", "97b", "1000b"])
+def test_quoted_records_across_byte_ranges(spark, tmp_path, size):
+    made, text = awkward_csv()
+    for k in range(2):
+        (tmp_path / f"{k}_order_reviews.csv").write_text(text, encoding="utf-8", newline="")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size if size == "1g" else "0")
+        found = csv_tables.read_table(spark, "order_reviews", [str(p) for p in sorted(tmp_path.iterdir())])
+        rows = sorted(tuple(r)[:5] for r in found.select("review_id", "order_id", "review_score", "review_comment_title", "review_comment_message").collect())
+        parts = quoted_csv.file_lines(spark, [str(tmp_path / "0_order_reviews.csv")]).select("_range").distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows == sorted((a, b, int(c), d or None, e or None) for a, b, c, d, e in made * 2)
+    assert parts == 1 if size == "1g" else parts > 10
+
+
+def test_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"a, b",c\n1,2\n')
+    (tmp_path / "b.csv").write_text("c,d\n1,2\n")
+    assert quoted_csv.read_quoted(spark, [str(tmp_path / "a.csv")], csv_tables.OPTIONS).columns == ["a, b", "c"]
+    with pytest.raises(ValueError, match="differ"):
+        quoted_csv.read_quoted(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], csv_tables.OPTIONS)
+
+
 def test_missing_files_are_listed_together(spark, tmp_path):
     (tmp_path / "customers.csv").write_text("customer_id\n")
     with pytest.raises(FileNotFoundError) as error:
@@ -92,11 +130,20 @@ def test_rounding_leaves_integers_and_nulls(spark):
     assert tuple(export.round_fields(df, ["a", "b", "c"]).first()) == (1.23, 5, None, 9.87654)
 
 
-def test_large_results_are_refused_as_documents(spark, tmp_path):
-    with pytest.raises(ValueError, match="write_rows"):
-        export.record_list(spark.range(11), limit=10)
-    export.write_rows(spark.range(11).withColumn("x", F.lit(float("nan"))), str(tmp_path / "rows"))
-    assert spark.read.json(str(tmp_path / "rows")).count() == 11
+def test_rows_of_any_number_make_one_document(spark, tmp_path, caplog):
+    """More rows than the driver would form a document of, in order, over several part files."""
+    df = spark.range(30_000).select("id", F.lit(float("nan")).alias("x"), F.lit("ótimo, \"bom\"\n").alias("t"), F.expr("array(1.5D, NULL)").alias("a"))
+    path = str(tmp_path / "rows.json")
+    export.write_json(spark, df.repartition(7).orderBy(F.desc("id")), path)
+    rows = json.loads((tmp_path / "rows.json").read_text(encoding="utf-8"))
+    assert [r["id"] for r in rows] == list(range(29_999, -1, -1))
+    assert rows[5] == {"id": 29_994, "x": None, "t": 'ótimo, "bom"\n', "a": [1.5, None]}
+    assert "above 500 KB" in caplog.text
+    export.write_json(spark, df.limit(0), path)
+    assert json.loads((tmp_path / "rows.json").read_text()) == []
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+    export.write_rows(df.limit(11), str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 11
 
 
 def test_a_large_document_warns(spark, tmp_path, caplog):
