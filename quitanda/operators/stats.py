@@ -303,18 +303,18 @@ def chi_square(df: DataFrame, a: str, b: str, alpha: float = ALPHA) -> DataFrame
     Only occupied cells are needed: the statistic is the sum of observed squared
     over expected, less the number of rows.
     """
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("o"))
-    row, column, all_cells = Window.partitionBy(a), Window.partitionBy(b), Window.partitionBy()
-    n = F.sum("o").over(all_cells).cast("double")
-    expected = F.sum("o").over(row) * F.sum("o").over(column) / n
-    scored = cells.select(
-        a, b, "o", (F.col("o").cast("double") * F.col("o") / expected).alias("part")
-    )
+    cells = durable(df.dropna(subset=[a, b]).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("o")))
+    # Margins are sums of partial sums; Spark joins them back by their measured sizes.
+    rows = cells.groupBy("_a").agg(F.sum("o").alias("row"))
+    columns = cells.groupBy("_b").agg(F.sum("o").alias("column"))
+    n = cells.agg(F.sum("o").cast("double")).scalar()
+    expected = F.col("row") * F.col("column") / n
+    scored = cells.join(rows, "_a").join(columns, "_b").select("o", (F.col("o").cast("double") * F.col("o") / expected).alias("part"))
+    labels = lambda side: side.agg(F.count("*")).scalar()
     totals = scored.agg(
         F.sum("o").alias("n"),
         (F.sum("part") - F.sum("o")).alias("x"),
-        ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("graus"),
-    )
+    ).withColumn("graus", (labels(rows) - 1) * (labels(columns) - 1))
     return totals.withColumn("p", _chi_square_p("x", "graus")).select(
         F.lit(CHI_SQUARE).alias("teste_usado"),
         round_double(F.col("x"), 4).alias("chi2"),

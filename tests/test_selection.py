@@ -53,7 +53,7 @@ def test_equal_rows(spark, monkeypatch):
     df = spark.createDataFrame([(1, "same")] * 20 + [(1, "samee")] * 5 + [(1, "")] * 4, "x LONG, id STRING")
     sizes = S.series_sizes(df, {"x": F.col("x")})
     found = S.rows_at_ranks(df, {"x": F.col("x")}, {"x": [1, 4, 5, 24, 25]}, sizes, "id")
-    assert found["x"] == {1: (1, ""), 4: (1, ""), 5: (1, "same"), 24: (1, "same"), 25: (1, "samee")}
+    assert found["x"] == {1: (1, None), 4: (1, None), 5: (1, "same"), 24: (1, "same"), 25: (1, "samee")}
 
 
 def test_tile_starts_and_nothing(spark):

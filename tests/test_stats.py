@@ -176,3 +176,71 @@ def test_late_orders_score_lower(tables):
     result = stats.as_record(stats.delay_score_test(tables))
     # Late: o2 (1) and o6 (3); on time: o1 (5, 2) and o3 (4).
     assert (result["n_a"], result["n_b"], result["u_statistic"]) == (2, 3, u_of([1, 3], [5, 2, 4]))
+
+
+@pytest.mark.parametrize("small", [1, 2, 5, 8])
+def test_exact_u_of_any_size(small):
+    """The tail by inclusion and exclusion equals a table of all U, and no size changes the rule."""
+    for large in (8, 30, 61):
+        ways = [1] + [0] * (small * large)
+        for i in range(1, small + 1):
+            for value in range(small * large, large + i - 1, -1):
+                ways[value] -= ways[value - large - i]
+            for value in range(i, small * large + 1):
+                ways[value] += ways[value - i]
+        for u in (0, small * large // 2, small * large * 3 // 4, small * large):
+            exact = sum(ways[u:]) / math.comb(small + large, small)
+            assert P._exact_upper(u, small, large) == pytest.approx(exact, rel=1e-12)
+
+
+def test_u_is_continuous_in_the_sample_size():
+    shares = [P.mann_whitney_two_sided(round(0.36 * 8 * n), 8, n, 0) for n in (240_000, 249_999, 250_001, 260_000, 10**9)]
+    assert max(shares) - min(shares) < 1e-4
+
+
+def test_student_tail_at_many_degrees():
+    # The normal tail with the first terms of its expansion in 1 / df.
+    for t in (0.01, 0.5, 1.96, 5.0):
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        for df in (1e7, 1e10, 1e12, 1e15):
+            tail = math.erfc(t / math.sqrt(2)) + 2 * density * (t * (t * t + 1) / (4 * df))
+            assert P.student_two_sided(t, df) == pytest.approx(tail, rel=1e-6, abs=1e-12)
+    assert round(P.student_two_sided(0.5, 1e12), 6) == 0.617075
+    assert P.student_two_sided(60.0, 1e9) == 0.0 and P.student_two_sided(0.0, 1e9) == 1.0
+
+
+def test_student_rules_meet():
+    for t in (0.3, 2.0, 6.0):
+        a = P.incomplete_beta(6_000.0, 0.5, 12_000.0 / (12_000.0 + t * t))
+        assert P.student_two_sided(t, 12_000.0) == pytest.approx(a, rel=1e-9, abs=1e-14)
+
+
+def test_chi_square_tail_at_many_degrees():
+    for df in (1e6, 1e9):
+        z = 1.5  # Wilson-Hilferty
+        x = df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
+        assert P.chi_square_upper(x, df) == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-4)
+
+
+def test_loops_that_do_not_end_raise(monkeypatch):
+    monkeypatch.setattr(P, "MAX_TERMS", 3)
+    for run in (lambda: P.incomplete_beta(50.0, 60.0, 0.4), lambda: P.student_two_sided(3.0, 1e6), lambda: P.chi_square_upper(50.0, 60.0), lambda: P.chi_square_upper(90.0, 60.0)):
+        with pytest.raises(ArithmeticError, match="not converged"):
+            run()
+
+
+def test_chi_square_of_many_labels(spark):
+    """One label holds a third of all rows; margins are joined, so no window gathers all cells."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9973).alias("x"), (F.col("id") * 7919 % 101).alias("y")
+    )
+    found = stats.chi_square(rows, "x", "y")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    table = rows.toPandas()
+    cells = table.groupby(["x", "y"]).size().rename("o").reset_index()
+    r, c = table.groupby("x").size(), table.groupby("y").size()
+    expected = cells["x"].map(r) * cells["y"].map(c) / len(table)
+    record = found.first()
+    assert record["chi2"] == pytest.approx((cells["o"] ** 2 / expected).sum() - len(table), abs=1e-3)
+    assert record["graus"] == (len(r) - 1) * (len(c) - 1) and record["n"] == 60_000
