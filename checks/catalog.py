@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import oracle, oracle_stats
 from quitanda.functions.semantics import round_double
@@ -14,10 +14,11 @@ from quitanda.operators import clustering, cohort, funnel, geo, prediction, qual
 from quitanda.operators.base import Tables
 from quitanda.plans import export
 from quitanda.plans.catalog import run_all
+from quitanda.plans.job import run_job
 from quitanda.schemas import table_schema
 from quitanda.session import ensure_checkpoint_dir
 from quitanda.sources.adapters import StarTables
-from quitanda.sources.csv_tables import FILE_PATTERNS, load_tables
+from quitanda.sources.csv_tables import FILE_PATTERNS, load_tables, require_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,10 @@ def _described(spark: SparkSession, folder: str) -> DataFrame:
     return stats.describe_test_result(stats.welch_t_test(_price_samples(spark, folder)), "Valor difere por status")
 
 
+def _described_mw(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.describe_test_result(stats.mann_whitney(_price_samples(spark, folder)), "Valor difere por status")
+
+
 def _pearson(spark: SparkSession, folder: str) -> DataFrame:
     return stats.pearson(StarTables(spark, folder).order_items(), F.col("price"), F.col("freight_value"))
 
@@ -160,18 +165,36 @@ def _scratch(spark: SparkSession) -> str:
 
 
 # Loaded tables, and the amount summed up for each.
-LOADED = {"customers": None, "sellers": None, "products": "product_weight_g", "order_items": "price + freight_value"}
+LOADED = {
+    "customers": None,
+    "orders": "length(order_status)",
+    "order_items": "price + freight_value",
+    "order_payments": "payment_value",
+    "order_reviews": "review_score + coalesce(length(review_comment_message), 0)",
+    "products": "product_weight_g",
+    "sellers": None,
+    "geolocation": None,
+    "category_translation": "length(product_category_name)",
+}
+
+
+def _csv_folder(spark: SparkSession, folder: str) -> str:
+    """All tables as headed CSV files, free text quoted."""
+    tables, target = StarTables(spark, folder).tables(), _scratch(spark)
+    for name in LOADED:
+        df = tables[name]
+        columns = [F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name) for f in table_schema(name)]
+        if name == "order_reviews":
+            # An empty text is read as none, and so is one of carriage returns at the end of a line.
+            columns = [F.regexp_replace(c, "\r", " ") if f.name == "review_comment_message" else c for c, f in zip(columns, table_schema(name))]
+            columns = [c.alias(f.name) for c, f in zip(columns, table_schema(name))]
+        df.select(*columns).write.options(header=True, quote='"', escape='"', lineSep="\n").csv(f"{target}/{name}.csv")
+    return target
 
 
 def _loaded(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and amounts of tables that went through CSV files and back."""
-    tables, target = StarTables(spark, folder).tables(False, False), _scratch(spark)
-    for name in LOADED:
-        known = {f.name for f in table_schema(name)}
-        missing = known - set(tables[name].columns)
-        columns = [*(c for c in tables[name].columns if c in known), *(F.lit(None).cast("string").alias(c) for c in missing)]
-        tables[name].select(*columns).write.option("header", True).csv(f"{target}/{name}.csv")
-    loaded = load_tables(spark, target, {name: FILE_PATTERNS[name] for name in LOADED})
+    loaded = load_tables(spark, _csv_folder(spark, folder), {name: FILE_PATTERNS[name] for name in LOADED})
     return reduce(
         DataFrame.unionByName,
         (
@@ -182,6 +205,62 @@ def _loaded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _required(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables whose files are found in a folder of CSV files."""
+    found = require_inputs(spark, _csv_folder(spark, folder))
+    return clustering.records(spark, [{"tabela": name, "presente": bool(files)} for name, files in found.items()])
+
+
+def _job(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every file that a whole run from CSV files writes; a document counts as one."""
+    target = _scratch(spark)
+    names = run_job(spark, _csv_folder(spark, folder), f"{target}/store", f"{target}/out", restarts=1)
+    counts = ({"arquivo": name, "linhas": spark.read.option("multiLine", True).json(f"{target}/out/{name}").count()} for name in names)
+    return clustering.records(spark, list(counts))
+
+
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each person is at the nearest of the fitted centres."""
+    found = clustering.kmeans_fit(_people(spark, folder), 4)
+    return found.assigned.select("customer_unique_id", *rfm.MEASURES, clustering.nearest_centre(found).alias("mais_proximo"))
+
+
+def _centres(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each centre is the mean of its people, and whether their numbers add up."""
+    gaps = clustering.centre_gaps(clustering.kmeans_fit(_people(spark, folder), 4))
+    total = F.sum("rows").over(Window.partitionBy())
+    return gaps.select(F.col("cluster").cast("int").alias("cluster"), (F.col("gap") < 2e-3).alias("media"), total.alias("pessoas"))
+
+
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    """For every k of a search: inertia below that of fewer clusters, a silhouette in range, and whether the best was taken."""
+    found = clustering.cluster(_people(spark, folder), restarts=3)
+    inertia = {r["k"]: r["inertia"] for r in found.elbow}
+    best = max(found.silhouette, key=lambda r: r["silhouette"])["k"]
+    return clustering.records(
+        spark,
+        [
+            {"k": k, "cai": k - 1 not in inertia or inertia[k] <= inertia[k - 1], "em_faixa": -1 <= r["silhouette"] <= 1, "certo": found.k_best == best, "n_usado": found.n_used}
+            for r in found.silhouette
+            for k in [r["k"]]
+        ],
+    )
+
+
+def _stationary(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the penalised loss of the logistic model is flat in each coefficient."""
+    train = _split(spark, folder).filter(~F.col("em_teste"))
+    return prediction.loss_slopes(prediction.train_delay_model(train), train).select("feature", (F.abs("slope") < 1e-3).alias("plano"))
+
+
+def _confusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows of both models, and whether their metrics follow from the confusion cells."""
+    rows = _predicted(spark, folder)
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    right = round_double((tp + tn) / (tn + fp + fn + tp), 4) == F.col("accuracy")
+    return rows.select("modelo", (tn + fp + fn + tp).alias("n_teste"), "n_original", "n_usado", right.alias("confere"), F.col("auc_roc").between(0, 1).alias("em_faixa"))
+
+
 def _result_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every named result."""
     results = run_all(StarTables(spark, folder).tables())
@@ -201,11 +280,11 @@ def _exported(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, folder: str) -> DataFrame:
-    """All customer scores through JSON lines, the sink for results of any size."""
-    target = _scratch(spark)
-    export.write_rows(_people(spark, folder), target)
+    """All customer scores through one JSON document, written as a stream."""
+    target = f"{_scratch(spark)}/scores.json"
+    export.write_json(spark, _people(spark, folder), target)
     schema = "customer_unique_id LONG, recency LONG, frequency LONG, monetary DOUBLE, r_score INT, f_score INT, m_score INT, segmento STRING"
-    return spark.read.schema(schema).json(target)
+    return spark.read.schema(schema).option("multiLine", True).json(target)
 
 
 def _json_safe(tables: Tables) -> DataFrame:
@@ -283,6 +362,14 @@ QUERIES: dict[str, Query] = {
     "evaluate_classifier": _evaluated,
     "delay_prediction": _predicted,
     "load_tables": _loaded,
+    "require_inputs": _required,
+    "run_pipeline": _job,
+    "kmeans_fit_certificate": _nearest,
+    "kmeans_centres_certificate": _centres,
+    "kmeans_search_certificate": _search,
+    "train_delay_model_certificate": _stationary,
+    "delay_prediction_certificate": _confusion,
+    "describe_test_result_mw": _described_mw,
     "run_named_queries": _result_sizes,
     "export_results": _exported,
     "write_json": _written,
@@ -319,3 +406,46 @@ _RESULT_QUERIES = {
 ORACLE["run_named_queries"] = " UNION ALL ".join(
     f"SELECT '{name}' AS resultado, count(*) AS linhas FROM ({ORACLE[query]})" for name, query in _RESULT_QUERIES.items()
 )
+
+# Files of a whole run: the query whose rows each holds; None for one document.
+_FILE_QUERIES = {
+    "01_funil_status.json": "funnel_status",
+    "01_funil_conversao.json": "funnel_conversion",
+    "01_funil_tempos.json": "delivery_time_buckets",
+    "02_rfm_distribuicao.json": None,
+    "02_rfm_segmentos.json": "rfm_segments",
+    "02_rfm_clustering.json": None,
+    "03_cohort_heatmap.json": None,
+    "03_cohort_recompra.json": "cohort_repurchase",
+    "04_geo_estados.json": "geo_state_metrics",
+    "04_geo_correlacao.json": None,
+    "04_geo_categorias.json": "geo_top_categories",
+    "05_sazonalidade_mensal.json": "monthly_series",
+    "05_sazonalidade_semanal.json": "weekday_pattern",
+    "05_sazonalidade_horaria.json": "hourly_pattern",
+    "06_reviews_distribuicao.json": "review_distribution",
+    "06_reviews_categorias.json": "category_review_scores",
+    "06_reviews_atraso.json": "delay_vs_score",
+    "06_reviews_palavras.json": "word_frequency",
+}
+ORACLE["run_pipeline"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS arquivo, " + (f"count(*) AS linhas FROM ({ORACLE[query]})" if query else "1 AS linhas") for name, query in _FILE_QUERIES.items()
+)
+ORACLE["require_inputs"] = " UNION ALL ".join(f"SELECT '{name}' AS tabela, TRUE AS presente" for name in LOADED)
+ORACLE["kmeans_fit_certificate"] = (
+    f"SELECT customer_unique_id, recency, frequency, monetary, TRUE AS mais_proximo FROM ({ORACLE['rfm_scores']})"
+)
+ORACLE["kmeans_centres_certificate"] = (
+    f"SELECT CAST(i AS INTEGER) AS cluster, TRUE AS media, (SELECT count(*) FROM ({ORACLE['rfm_scores']})) AS pessoas FROM range(4) s(i)"
+)
+ORACLE["kmeans_search_certificate"] = (
+    f"SELECT i AS k, TRUE AS cai, TRUE AS em_faixa, TRUE AS certo, (SELECT count(*) FROM ({ORACLE['rfm_scores']})) AS n_usado FROM range(2, 11) s(i)"
+)
+ORACLE["train_delay_model_certificate"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, TRUE AS plano" for name in (*prediction.FEATURES, "intercept")
+)
+_ALL_FEATURES = f"(SELECT count(*) FROM ({ORACLE['delay_features']}))"
+ORACLE["delay_prediction_certificate"] = f"""
+    SELECT modelo, n_teste, {_ALL_FEATURES} AS n_original, n_usado, TRUE AS confere, TRUE AS em_faixa
+    FROM (SELECT count(*) FILTER (em_teste) AS n_teste, count(*) AS n_usado FROM ({ORACLE['train_test_prepare']}))
+    CROSS JOIN (VALUES ('logistic'), ('random_forest')) v(modelo)"""

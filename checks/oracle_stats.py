@@ -126,6 +126,15 @@ _ORDER_VALUES = """
 BODIES = {
     "mann_whitney": _PRICE_SAMPLES + _MANN_WHITNEY + "SELECT * FROM mw_row",
     "welch_t_test": _PRICE_SAMPLES + _WELCH + "SELECT * FROM t_row",
+    "describe_test_result_mw": _PRICE_SAMPLES
+    + _MANN_WHITNEY
+    + """SELECT *, 'Valor difere por status' AS hipotese,
+        CASE WHEN significativo THEN format('Rejeita H0 (p={:.4f} < alpha={}). Ha diferenca estatisticamente significativa.', p_value, alpha)
+             ELSE format('Nao rejeita H0 (p={:.4f} >= alpha={}). Nao ha evidencia de diferenca significativa.', p_value, alpha) END
+        || format(' Tamanho do efeito (r): {:.4f} ({}).', tamanho_efeito, CASE WHEN abs(tamanho_efeito) < 0.1 THEN 'negligivel'
+             WHEN abs(tamanho_efeito) < 0.3 THEN 'pequeno' WHEN abs(tamanho_efeito) < 0.5 THEN 'medio' ELSE 'grande' END) AS conclusao,
+        format('Teste nao-parametrico (nao assume normalidade). Amostras independentes. n={} (n_a={}, n_b={}). Nivel de significancia: {}.',
+               n_a + n_b, n_a, n_b, alpha) AS premissas FROM mw_row""",
     "describe_test_result": _PRICE_SAMPLES
     + _WELCH
     + """SELECT *, 'Valor difere por status' AS hipotese,
@@ -199,9 +208,14 @@ BODIES = {
         SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY faixa ORDER BY contagem DESC, palavra) <= 10""",
     "load_tables": """
         SELECT 'customers' AS tabela, count(*) AS linhas, CAST(0 AS DECIMAL(38,2)) AS soma FROM m_customers
-        UNION ALL SELECT 'sellers', count(*), 0 FROM m_sellers
+        UNION ALL SELECT 'orders', count(*), sum(length(status)) FROM m_orders
+        UNION ALL SELECT 'order_items', count(*), sum(price + CAST(freight AS DECIMAL(10,2))) FROM m_items
+        UNION ALL SELECT 'order_payments', count(*), sum(CAST(o_totalprice AS DECIMAL(10,2))) FROM orders
+        UNION ALL SELECT 'order_reviews', count(*), sum(score + coalesce(length(message), 0)) FROM m_comments
         UNION ALL SELECT 'products', count(*), sum(weight) FROM m_products
-        UNION ALL SELECT 'order_items', count(*), sum(price + CAST(freight AS DECIMAL(10,2))) FROM m_items""",
+        UNION ALL SELECT 'sellers', count(*), 0 FROM m_sellers
+        UNION ALL SELECT 'geolocation', count(*), 0 FROM supplier
+        UNION ALL SELECT 'category_translation', count(*), sum(length(category)) FROM m_names""",
     "export_results": SERIES
     + """, s AS (SELECT mes, pedidos, receita,
           CASE WHEN row_number() OVER w >= 3 THEN ROUND(CAST(avg(receita) OVER (w ROWS 2 PRECEDING) AS NUMERIC), 2) END AS a,

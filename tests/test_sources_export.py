@@ -178,7 +178,7 @@ def test_absent_results_are_skipped(spark, tables, tmp_path):
 
 
 def test_job_writes_every_file(spark, csv_folder, tmp_path, monkeypatch):
-    monkeypatch.setattr(job, "cluster", lambda scores: Clustering(scores.count(), 4, scores, k_best=2))
+    monkeypatch.setattr(job, "cluster", lambda scores, restarts: Clustering(scores.count(), 4, scores, k_best=2))
     names = job.run_job(spark, csv_folder, str(tmp_path / "store"), str(tmp_path / "out"))
     assert names == [e.file for e in export.EXPORTS] and len(names) == 18
     for name in names:
