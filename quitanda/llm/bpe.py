@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers: some 80 MB; early ones are the frequent ones.
-CACHED = 400_000
+from quitanda.llm.frames import given_back
+
+#: Bytes that a worker's memory of chunks may take, and those of an entry beside its chunk and ids.
+CACHED_BYTES, ENTRY_BYTES = 64 << 20, 180
 #: Fragments of these lengths are merged side by side, longer ones one by one.
 WIDTHS = (0, 6, 12, 24)
 NONE = 1 << 40
@@ -70,6 +72,7 @@ class ForcedBPE:
         self.rank_of_key = np.argsort(keys)
         self.keys = keys[self.rank_of_key]
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE where nothing merges them."""
@@ -191,8 +194,9 @@ class ForcedBPE:
         new = {c for ps in chunks for p in ps if isinstance(p, list) for c in p if c not in memory}
         found = self.encode_chunks(list(new)) if new else {}
         get = memory.__getitem__
-        if len(memory) + len(found) <= CACHED:
+        if found and self.held < CACHED_BYTES:
             memory.update(found)
+            self.held += sum(len(c) + len(i) for c, i in found.items()) + ENTRY_BYTES * len(found)
         elif found:
             get = lambda c: found[c] if c in found else memory[c]
         out = []
@@ -260,7 +264,25 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(ids)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(given_back(run), "doc_id long, ids array<int>")
+
+
+def _decoded(lists: pa.Array, bpe: ForcedBPE) -> pa.Array:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+    return pa.array([bpe.decode(flat[a:b]) for a, b in pairwise(ends)], pa.string())
+
+
+def encode_and_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`doc_id`, `ids` and `decoded` of every row, as ``encode_texts`` and ``decode_ids`` give them, in one task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ids in encoded_slices(batches, path):
+            lists = id_lists(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, _decoded(lists, encoder(path))], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(given_back(run), "doc_id long, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -269,11 +291,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in in_slices(batches):
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-            texts = [bpe.decode(flat[a:b]) for a, b in pairwise(ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(1), bpe)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -289,7 +307,7 @@ def op5_bpe_encode(spark, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     path = default_tokenizer()
-    return decode_ids(encode_texts(docs, path), path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

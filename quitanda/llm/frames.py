@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda.session import durable, ensure_checkpoint_dir
 
-__all__ = ["Scratch", "durable", "keep_rows", "release", "row_key", "size_checked"]
+__all__ = ["Scratch", "delete_folder", "durable", "given_back", "keep_rows", "release", "row_key", "size_checked"]
 
 #: Rows of a few long columns that may be broadcast: some 16 MB.
 BROADCAST_ROWS = 400_000
@@ -34,9 +38,13 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete the folder, once nothing lazy reads from it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.spark, self.folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whichever file system its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,6 +56,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def given_back(run: Callable) -> Callable:
+    """A task function that hands freed memory back to the system as it ends: workers wait for later tasks."""
+
+    @wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return tidy
+
+
 def size_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`small`, marked for broadcast if a count proves that it has few narrow rows.
 
@@ -57,9 +83,10 @@ def size_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
-def row_key(*columns: str) -> Column:
-    """Key that spreads rows by the given columns, null or not."""
-    return F.xxhash64(*columns)
+def row_key(doc_id: str, *columns: str) -> Column:
+    """Key of a row by id and content: two hashes beside the id, so no two contents share one by chance; never null."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.struct(own.alias("id"), F.xxhash64(doc_id, *columns).alias("h1"), F.xxhash64(F.lit(11), *columns).alias("h2"))
 
 
 def keep_rows(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:

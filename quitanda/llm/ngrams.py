@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quitanda.llm.frames import durable, size_checked
+from quitanda.llm.frames import durable, given_back, size_checked
 from quitanda.llm.words import LOWER_CODES, STEP, flat, mix, windows, word_hashes
 
 BUCKETS = 1 << 16
@@ -62,7 +62,7 @@ def gram_counts(docs: DataFrame, text: str, trusted: str, grams: Grams, buckets:
         used = np.flatnonzero(raw_counts)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, raw_counts[used], target[used])], ["bucket", "raw", "target"])
 
-    rows = docs.select(F.col(text), F.col(trusted).cast("boolean")).mapInArrow(run, "bucket long, raw long, target long")
+    rows = docs.select(F.col(text), F.col(trusted).cast("boolean")).mapInArrow(given_back(run), "bucket long, raw long, target long")
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

@@ -13,48 +13,64 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quitanda.llm.bpe import default_tokenizer, encode_texts
-from quitanda.llm.frames import durable
+from quitanda.llm.bpe import default_tokenizer, encoded_slices
+from quitanda.llm.frames import durable, given_back
 
 CAPACITY = 2048
 SEPARATOR = 0
 
 
+def _pieces(docs: pa.Array, ids: list[np.ndarray], capacity: int, separator: int) -> tuple[list[list], list[np.ndarray]]:
+    """Columns doc_id, piece, start, length and ids_crc32 of the pieces of documents, and the pieces' ids."""
+    rows, parts = [], []
+    for doc, own in zip(docs.to_pylist(), ids, strict=True):
+        whole = np.append(own, separator).astype("<u4")
+        for k, start in enumerate(range(0, len(whole), capacity)):
+            part = whole[start : start + capacity]
+            rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
+            parts.append(part)
+    return [list(c) for c in zip(*rows, strict=True)] or [[]] * 5, parts
+
+
+def _arrays(columns: list[list]) -> list[pa.Array]:
+    return [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)]
+
+
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
 def cut_pieces(encoded: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, ids) of rows (doc_id, ids) with the separator added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            lists = batch.column(1)
-            flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                whole = np.append(flat[a:b], separator).astype("<u4")
-                for k, start in enumerate(range(0, len(whole), capacity)):
-                    part = whole[start : start + capacity]
-                    rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), part))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
+            flat, bounds = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            columns, parts = _pieces(batch.column(0), [flat[a:b] for a, b in pairwise(bounds.tolist())], capacity, separator)
             ends = np.cumsum([0, *columns[3]], dtype=np.int32)
-            flat = np.concatenate([np.zeros(0, "<u4"), *columns[5]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.int64()),
-                    pa.array(columns[1], pa.int32()),
-                    *(pa.array(c, pa.int64()) for c in columns[2:5]),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+            flat = np.concatenate([np.zeros(0, "<u4"), *parts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*_arrays(columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*NAMES, "ids"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"{PIECE}, ids array<int>")
+
+
+def encode_pieces(docs: DataFrame, path: str, doc_id: str, text: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32) of texts: encoded and cut in one task, so ids never leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ids in encoded_slices(batches, path):
+            columns, _ = _pieces(batch.column(0), [np.frombuffer(i, "<u4") for i in ids], capacity, separator)
+            yield pa.RecordBatch.from_arrays(_arrays(columns), NAMES)
 
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
-    )
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(given_back(run), PIECE)
 
 
 def two_that_fit(left: np.ndarray, gap: int, least: int) -> tuple[int, int] | None:
@@ -161,7 +177,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     repeated ids are packed each on its own; other columns are left out; an empty table
     gives no rows.  Only documents longer than a sequence are cut.
     """
-    return place_pieces(cut_pieces(encode_texts(docs, path, doc_id, text), capacity).drop("ids"), capacity)
+    return place_pieces(encode_pieces(docs, path, doc_id, text, capacity), capacity)
 
 
 def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:

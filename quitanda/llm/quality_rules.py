@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quitanda.llm.frames import given_back
 from quitanda.llm.ngrams import UNIT, byte_grams, gram_counts, log_ratios, text_scores, trusted_rows
 from quitanda.llm.words import BYTE_CODES, SPACE, STEP, flat, mix, word_hashes
 
@@ -72,8 +73,7 @@ def noted(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
     """`docs` with the counts of NOTES, `base_failed`, and `score`, the mean log ratio (null without n-grams)."""
     kinds = "struct<" + ", ".join(f"{n}: bigint" for n in NOTES) + ", score: double>"
 
-    @F.arrow_udf(kinds)
-    def note(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
             for start in range(0, len(texts), 256):
@@ -84,6 +84,10 @@ def noted(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
                 parts.append(pa.StructArray.from_arrays([*arrays, pa.array(score, from_pandas=True)], [*NOTES, "score"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], parts_type)
 
+    @F.arrow_udf(kinds)
+    def note(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from given_back(run)(batches)
+
     parts_type = pa.struct([*((n, pa.int64()) for n in NOTES), ("score", pa.float64())])
     rows = docs.drop(*NOTES, "score", "base_failed", "_note").withColumn("_note", note(F.col(text).cast("string")))
     rows = rows.select("*", "_note.*").drop("_note")

@@ -25,7 +25,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quitanda.llm.frames import durable, row_key, size_checked
+from quitanda.llm.frames import durable, given_back, row_key, size_checked
 from quitanda.llm.ngrams import gram_counts
 from quitanda.llm.words import STEP, windows
 
@@ -184,18 +184,21 @@ def features_of(candidate: str, before: str, after: str, tables: CorpusTables) -
 def candidates(docs: DataFrame, tables: CorpusTables, text: str = "text") -> DataFrame:
     """`docs` with one row per candidate: `start`, `length` (code points) and `values`, its features."""
 
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("values", pa.list_(pa.float64()))]))
+
+    def found_in(t: str) -> list[dict]:
+        near = ((a, b, t[max(0, a - CONTEXT_CHARS) : a], t[b : b + CONTEXT_CHARS]) for a, b in candidate_spans(t))
+        return [{"start": a, "length": b - a, "values": features_of(t[a:b], before, after, tables)} for a, b, before, after in near]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            slices = (texts.slice(start, 256).to_pylist() for start in range(0, len(texts), 256))
+            parts = [pa.array([found_in(t or "") for t in some], kind) for some in slices]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
     @F.arrow_udf("array<struct<start: bigint, length: bigint, values: array<double>>>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("values", pa.list_(pa.float64()))]))
-        for texts in batches:
-            rows = []
-            for t in texts.to_pylist():
-                found = []
-                for a, b in candidate_spans(t or ""):
-                    values = features_of(t[a:b], t[max(0, a - CONTEXT_CHARS) : a], t[b : b + CONTEXT_CHARS], tables)
-                    found.append({"start": a, "length": b - a, "values": values})
-                rows.append(found)
-            yield pa.array(rows, kind)
+        yield from given_back(run)(batches)
 
     rows = docs.drop("start", "length", "values", "_c").withColumn("_c", F.explode(scan(F.col(text).cast("string"))))
     return rows.select("*", "_c.*").drop("_c")
@@ -301,7 +304,12 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]], tables
 
 def context_words(docs: DataFrame, text: str = "text", documents: int = CONTEXT_DOCUMENTS, words: int = CONTEXT_WORDS) -> list[str]:
     """Distinct words of a bounded sample of documents; sample and words are chosen by hashes."""
-    chosen = docs.filter(F.length(text) > 0).select(F.col(text).alias("t")).orderBy(F.xxhash64("t")).limit(documents)
+    hashed = docs.filter(F.length(text) > 0).select(F.xxhash64(text).alias("h"))
+    # Only hashes are sorted; texts come after them, all that share a hash up to the last one chosen.
+    last = hashed.orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = docs.filter((F.length(text) > 0) & (F.xxhash64(text) <= last)).select(F.col(text).alias("t")).distinct()
     found = chosen.select(F.explode(F.split("t", r"\s+")).alias("w")).filter(F.col("w").rlike("^[A-Za-z]{2,15}$"))
     return sorted(r["w"] for r in found.distinct().orderBy(F.xxhash64("w")).limit(words).collect())
 
@@ -338,7 +346,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with every secret in `text` replaced by MASK; all rows and columns stay."""
+    """`docs` with every secret in `text` replaced by MASK; all rows and columns stay.
+
+    A null text stays null, repeated rows are masked alike, an empty table gives no rows.
+    Columns of the operator's own names are not touched, but for `_key` and `_spans`, which must be free.
+    """
     model, tables = fit(docs, text)
     keyed = docs.withColumn("_key", row_key(doc_id, text))
     found = scan_secrets(keyed.select("_key", text), model, tables, text).filter("is_secret")
