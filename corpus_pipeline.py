@@ -1,7 +1,10 @@
 """Corpus pipeline: quality rules, line dedup, near duplicates, secrets, packing.
 
 Each stage takes the rows that its predecessor kept and wrote; all but the last return
-the columns of documents.
+the columns of documents.  A stage hands operators what they read and keeps the rows whole beside
+it, so no column of a caller is lost to one of an operator's names.  Null texts count as empty,
+repeated rows are judged alike, rows without an id stay unless the rules reject them, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,34 +15,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quitanda.llm.bpe import default_tokenizer
 from quitanda.llm.entries import ship_code
+from quitanda.llm.frames import delete_folder, durable, size_checked
 from quitanda.llm.jaccard_join import near_duplicates
 from quitanda.llm.line_dedup import drop_repeated_lines
 from quitanda.llm.packing import pack_documents
 from quitanda.llm.quality_rules import apply_quality, fit_quality
 from quitanda.llm.secret_scan import mask_secrets
-from quitanda.llm.frames import durable, size_checked
 from quitanda.session import ensure_checkpoint_dir
 
 
-def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The given columns with another text, and its length where documents carry one."""
-    rows = docs.withColumn("text", F.col(text))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.length("text").cast(kind))
-    return rows.select(*columns)
+def _beside(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): whole rows beside what the operators read."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
+
+
+def _whole(rows: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The rows as they were, with another text, and its length where documents carry one."""
+    kinds = dict(docs.dtypes)
+
+    def column(name: str) -> F.Column:
+        if text and name == "text":
+            return F.col(text)
+        if text and name == "n_chars":
+            return F.length(text).cast(kinds[name])
+        return F.col("_row")[name]
+
+    return rows.select(*(column(name).alias(name) for name in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return apply_quality(docs, fit_quality(docs, labels)).filter("kept").select(*docs.columns)
+    return _whole(apply_quality(_beside(docs), fit_quality(docs, labels)).filter("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many others repeat."""
-    return _with_text(drop_repeated_lines(docs), "kept_text", docs.columns)
+    return _whole(drop_repeated_lines(_beside(docs)), docs, "kept_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets masked."""
     ship_code(spark)
-    return _with_text(mask_secrets(docs), "text", docs.columns)
+    return _whole(mask_secrets(_beside(docs)), docs, "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,16 +85,18 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: The stages hash, train and pack, which SQL does not express; tests compare them with brute force.
+#: The stages hash, train and pack, which SQL does not express; tests/llm/test_pipeline.py compares them with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read back."""
+    """All stages over documents; each result is written to the shared folder and read back, and goes once the next is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
