@@ -30,8 +30,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 _SHIPPED = "_quitanda_shipped"
 
 
+#: Rows of an Arrow batch: texts are long, and batches of the default 10,000 rows take hundreds of megabytes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_ROWS, TEXT_ROWS = "10000", "1000"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session: its task functions import it there."""
+    """Send this package to the executors, once a session: its task functions import it there.
+
+    Unless the session has a batch size of its own, batches are cut to a size that texts allow.
+    """
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, TEXT_ROWS)
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return
