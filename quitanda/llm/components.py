@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quitanda.llm.frames import Scratch, durable
+from quitanda.session import compacted
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,13 +18,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     scratch = Scratch(links.sparkSession)
     edges = scratch.save(links.select("a", "b").filter("a <> b").distinct())
+    # No frame has more rows than twice the edges: small ones are written by few tasks.
+    most = 2 * edges.count()
+    save = lambda df: scratch.save(compacted(df, most))
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        up = save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         while True:
             higher = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            jumped = scratch.save(up.join(higher, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            jumped = save(up.join(higher, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
             up = jumped.drop("moved")
             if jumped.filter("moved").isEmpty():
                 break
@@ -32,12 +36,12 @@ def components(links: DataFrame) -> DataFrame:
         else:
             above = up.select(F.col("node").alias("component"), F.col("up").alias("top"))
             labels = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-            labels = scratch.save(labels)
+            labels = save(labels)
         ends = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}"))
         edges = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
-        edges = scratch.save(edges.filter("a <> b").distinct())
+        edges = save(edges.filter("a <> b").distinct())
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = durable(labels)
+    labels = durable(compacted(labels, most))
     scratch.clear()
     return labels

@@ -29,6 +29,7 @@ from quitanda.llm.components import components
 from quitanda.llm.frames import Scratch, durable, keep_rows, release, size_checked
 from quitanda.llm.superminhash import signatures
 from quitanda.llm.words import mix, shingle_sets
+from quitanda.session import compacted
 
 SHINGLE_WORDS = 4
 #: Links need PERCENT * union <= 100 * intersection.
@@ -155,7 +156,8 @@ def verified(pairs: DataFrame, single: DataFrame, docs: DataFrame, scratch: Scra
     sketches = single.select("sid", "n", F.col("sketch").alias("data"))
     alike = agree("da", "db") >= PERCENT / 100 - MARGIN
     open_ = scratch.save(_ends(pairs, sketches).filter(alike).select("a", "b").distinct())
-    ids = durable(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
+    ids = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
+    ids = durable(compacted(ids, 2 * open_.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, sets in _sets(batches):
@@ -231,15 +233,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def join_up(pairs: DataFrame) -> None:
         nonlocal links, labels
-        links = scratch.save(links.union(verified(scratch.save(pairs.distinct()), single, docs, scratch)))
-        labels = components(links)
-
-    rows = scratch.save(open_parts(bucket_rows(single), labels))
+        found = verified(scratch.save(compacted(pairs.distinct(), 2 * PAIRS_PER_MEMBER * entries)), single, docs, scratch)
+        if not found.isEmpty():
+            links = scratch.save(compacted(links.union(found), links.count() + found.count()))
+            labels = components(links)
+
+    buckets = scratch.save(bucket_rows(single))
+    entries = buckets.count()
+    rows = scratch.save(compacted(open_parts(buckets, labels), entries))
     if not rows.isEmpty():
         join_up(small_pairs(rows.filter("few")).union(hub_pairs(rows.filter("NOT few"))))
         left = scratch.save(open_parts(rows.filter("NOT few").drop("part", "few"), labels))
         if not left.isEmpty():
-            lists = scratch.save(list_rows(docs, left.select(F.col("sid").alias("doc_id")).distinct()))
+            lists = scratch.save(list_rows(docs, durable(left.select(F.col("sid").alias("doc_id")).distinct())))
             join_up(hub_pairs(open_parts(lists, labels)))
             join_up(small_pairs(open_parts(lists, labels)))
     found = members.select("doc_id", "sid")
