@@ -31,9 +31,10 @@ class Scratch:
         self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.frames = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *parts: str) -> DataFrame:
+        """`df` as written and read back, in a folder for each value of `parts`, which must be its last columns."""
         path, self.frames = f"{self.folder}/{self.frames}", self.frames + 1
-        df.write.parquet(path)
+        df.write.partitionBy(*parts).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

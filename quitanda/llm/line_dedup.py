@@ -1,27 +1,31 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame functions only.
 
-A run holds one row per line key: its 128-bit hash, the number of documents with it
-and the largest id among them, sorted by hash.  Every batch of documents becomes a
-run.  It is merge-joined with the runs before it, which tells the keys that are new
-(in none of them: the anti-join) from known ones, and is then added at level 0.  Once
-a level holds `fanout` runs they are compacted into one run of the next level, so the
-number of runs grows with the logarithm of the number of batches.
+Lines are split and hashed once and written by batch.  A run holds one row per line key: its
+128-bit hash, the number of documents with it and the largest id among them, sorted by hash.  Every batch is merge-joined with the runs before it: the anti-join sends keys that no run
+has to a new run, so runs share no key and are read side by side; keys that are known go as updates
+to runs of their own, which few lines need.  Both kinds enter at level 0; once a level holds `fanout`
+runs they are compacted into one run of the next level, so the number of runs grows with the logarithm of
+the number of batches.  That number itself grows with the logarithm of the documents, since every batch
+shuffles the hashes of all runs (a checkpoint does not keep its partitioning).
 """
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quitanda.llm.frames import durable, row_key, size_checked
+from quitanda.llm.frames import Scratch, durable, row_key, size_checked
 
 BLANKS = " \t\n\x0b\f\r"
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 HASH = ["h1", "h2"]
+#: Documents that two batches hold; twice as many documents make one batch more.
+DOCS_OF_TWO_BATCHES = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -38,57 +42,83 @@ def hashed(key: str) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
 
 
-def batch_run(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Keys of a batch with the number of distinct ids that hold them and the largest id."""
-    keys = F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: F.length(x) >= min_chars), line_key))
-    lines = docs.select(F.col(doc_id).cast("long").alias("id"), F.explode(keys).alias("key"))
-    counted = lines.filter(F.length("key") >= min_chars).select("id", *hashed("key")).distinct().groupBy(*HASH)
+def batches_for(documents: int) -> int:
+    """Batches for so many documents: two at least, and one more whenever they double."""
+    return 2 + math.ceil(math.log2(max(1.0, documents / DOCS_OF_TWO_BATCHES)))
+
+
+def hashed_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, *columns: str) -> DataFrame:
+    """(id, place, h1, h2) of every line whose key has `min_chars` code points, with other columns of `docs`."""
+    lines = docs.select(*columns, F.col(doc_id).cast("long").alias("id"), F.posexplode(lines_of(text)).alias("place", "line"))
+    lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line")))
+    return lines.filter(F.length("line") >= min_chars).select(*columns, "id", "place", *hashed("line"))
+
+
+def batch_run(lines: DataFrame) -> DataFrame:
+    """Keys of a batch of lines with the number of distinct ids that hold them and the largest id."""
+    counted = lines.select("id", *HASH).distinct().groupBy(*HASH)
     return counted.agg(F.count("id").alias("n_docs"), F.max("id").alias("last_id"))
 
 
+def side_by_side(runs: list[DataFrame]) -> DataFrame:
+    """Rows of several runs."""
+    return reduce(DataFrame.unionByName, (r.select(*HASH, "n_docs", "last_id") for r in runs))
+
+
 def merged(runs: list[DataFrame]) -> DataFrame:
-    """One run of several: counts add up, the largest id stays."""
-    rows = reduce(DataFrame.unionByName, (r.select(*HASH, "n_docs", "last_id") for r in runs))
-    return rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+    """One run of several that share keys: counts add up, the largest id stays."""
+    return side_by_side(runs).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
 
 
 @dataclass
 class LineRuns:
-    """Runs by level; all are durable, so losing an executor loses none of them."""
+    """Runs of new keys and of updates, by level; all are durable, so losing an executor loses none of them."""
 
     fanout: int = 2
     min_chars: int = MIN_CHARS
     levels: list[list[DataFrame]] = field(default_factory=list)
+    updates: list[list[DataFrame]] = field(default_factory=list)
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Take in a batch; returns its run with `fresh`: whether no earlier run has the key.
+        """Take in a batch of documents, see `add_lines`."""
+        return self.add_lines(hashed_lines(docs, doc_id, text, self.min_chars))
+
+    def add_lines(self, lines: DataFrame) -> DataFrame:
+        """Take in a batch of hashed lines; returns its run with `fresh`: whether no earlier run has the key.
 
         Counts of batches add up to documents if no id is in two batches.
         """
-        run = batch_run(docs, doc_id, text, self.min_chars)
-        earlier = [r for level in self.levels for r in level]
-        fresh = F.lit(True)
-        for i, old in enumerate(earlier):
-            run = run.join(old.select(*HASH, F.lit(True).alias(f"known{i}")), HASH, "left")
+        run, fresh = batch_run(lines), F.lit(True)
+        for i, old in enumerate(r for level in self.levels for r in level):
+            known = old.select(*HASH, F.lit(True).alias(f"known{i}")).hint("merge")
+            run = run.join(known, HASH, "left")
             fresh = fresh & F.col(f"known{i}").isNull()
-        run = run.select(*HASH, "n_docs", "last_id", fresh.alias("fresh")).sortWithinPartitions(*HASH)
-        run = durable(run)
-        self._place(run, 0)
+        run = durable(run.select(*HASH, "n_docs", "last_id", fresh.alias("fresh")).sortWithinPartitions(*HASH))
+        first = not self.levels
+        self._place(self.levels, run.filter("fresh").drop("fresh"), 0, side_by_side)
+        if not first:
+            self._place(self.updates, run.filter("NOT fresh").drop("fresh"), 0, merged)
         return run
 
-    def _place(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            whole = durable(merged(self.levels[level]).sortWithinPartitions(*HASH))
-            self.levels[level] = []
-            self._place(whole, level + 1)
+    def _place(self, levels: list[list[DataFrame]], run: DataFrame, level: int, compact) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) >= self.fanout:
+            whole = durable(compact(levels[level]).repartition(*HASH).sortWithinPartitions(*HASH))
+            levels[level] = []
+            self._place(levels, whole, level + 1, compact)
 
     def totals(self) -> DataFrame:
-        """Every key once, over all levels."""
-        runs = [r for level in self.levels for r in level]
-        return runs[0] if len(runs) == 1 else merged(runs)
+        """Every key once: runs of new keys side by side, with the updates of all levels added."""
+        rows = side_by_side([r for level in self.levels for r in level])
+        later = [r for level in self.updates for r in level]
+        if not later:
+            return rows
+        more = merged(later).select(*HASH, F.col("n_docs").alias("more"), F.col("last_id").alias("later"))
+        return rows.join(more, HASH, "left").select(
+            *HASH, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_id", "later").alias("last_id")
+        )
 
 
 def drop_repeated_lines(
@@ -97,7 +127,7 @@ def drop_repeated_lines(
     text: str = "text",
     min_chars: int = MIN_CHARS,
     min_documents: int = MIN_DOCUMENTS,
-    batches: int = 2,
+    batches: int | None = None,
 ) -> DataFrame:
     """`docs` without lines whose key at least `min_documents` documents hold.
 
@@ -105,18 +135,20 @@ def drop_repeated_lines(
     (before dropping), `n_dropped` and `kept_text`, replacing columns of these names.
     Rows that share an id are one document, rows without an id count as none and never are
     the last holder; a null text is one empty line.  An empty table gives no rows.
+    The number of batches follows the input unless it is given; results do not depend on it.
     """
+    batches = batches or batches_for(docs.count())
     docs = docs.withColumns({"_key": row_key(doc_id, text), "_id": F.col(doc_id).cast("long")})
+    scratch = Scratch(docs.sparkSession)
+    lines = hashed_lines(docs, "_id", text, min_chars, "_key").withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    lines = scratch.save(lines, "batch")
     runs = LineRuns(min_chars=min_chars)
     for batch in range(batches):
-        runs.add(docs.filter(F.pmod(F.xxhash64("_id"), F.lit(batches)) == batch), "_id", text)
+        runs.add_lines(lines.filter(F.col("batch") == batch))
     frequent = durable(runs.totals().filter((F.col("n_docs") >= min_documents) & F.col("last_id").isNotNull()))
-    lines = docs.select("_key", "_id", F.posexplode(lines_of(text)).alias("place", "line"))
-    lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line")))
-    lines = lines.select("_key", "_id", "place", *hashed("line"), F.length("line").alias("n"))
-    gone = lines.filter(F.col("n") >= min_chars).join(size_checked(frequent), HASH)
-    gone = gone.filter(F.col("_id").isNull() | (F.col("_id") < F.col("last_id")))
-    gone = gone.groupBy("_key").agg(F.collect_set("place").alias("_gone"))
+    gone = lines.join(size_checked(frequent), HASH).filter(F.col("id").isNull() | (F.col("id") < F.col("last_id")))
+    gone = durable(gone.groupBy("_key").agg(F.collect_set("place").alias("_gone")))
+    scratch.clear()
     lines, gone_at = lines_of(text), F.coalesce("_gone", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quitanda.llm import quality_rules, resample, secret_scan
 from quitanda.llm.components import components
 from quitanda.llm.jaccard_join import near_duplicates
-from quitanda.llm.line_dedup import LineRuns, drop_repeated_lines
+from quitanda.llm.line_dedup import LineRuns, batches_for, drop_repeated_lines
 from tests.llm.conftest import DOCS, LINE, prose
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,7 +43,7 @@ def test_lines_are_counted_by_document(spark):
     rows = [(i, f"{four}\nend {i}") for i in (1, 2, 3, 4)] + [(2, f"{four}\nagain"), (4, f"{four}\nend 4"), (None, four), (None, four)]
     rows += [(i, f"{five}\nend {i}") for i in (11, 12, 13, 14, 15)] + [(12, f"{five}\nagain")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for batches in (1, 2, 3):
+    for batches in (1, 2, 3, 9):
         out = sorted((r["doc_id"] or -1, r["n_dropped"], r["kept_text"]) for r in drop_repeated_lines(frame, batches=batches).collect())
         gone = lambda i, t: i is not None and 11 <= i < 15
         assert out == sorted((i or -1, int(gone(i, t)), t.split("\n", 1)[1] if gone(i, t) else t) for i, t in rows)
@@ -58,6 +58,29 @@ def test_runs_compact_and_tell_new_keys(docs):
     assert runs.totals().agg(F.max("n_docs")).first()[0] >= 4
 
 
+def test_nine_batches_make_four_levels_of_disjoint_runs(spark):
+    rng = random.Random(3)
+    known = [f"{LINE} number {k}" for k in range(30)]
+    rows = [(i, "\n".join(rng.sample(known, 4) + [f"{LINE} of {i}"])) for i in range(180)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    runs, fresh = LineRuns(fanout=2), 0
+    for batch in range(9):
+        run = runs.add(frame.filter(F.col("doc_id") % 9 == batch))
+        fresh += run.filter("fresh").count()
+    assert [len(level) for level in runs.levels] == [1, 0, 0, 1]
+    assert [len(level) for level in runs.updates] == [0, 0, 0, 1]
+    totals = runs.totals().collect()
+    holders = Counter(line for _, t in rows for line in set(t.split("\n")))
+    assert fresh == len(totals) == len(holders)
+    assert Counter(r["n_docs"] for r in totals) == Counter(holders.values())
+    stored = [r for level in runs.levels for r in level]
+    assert sum(r.count() for r in stored) == len(holders)
+
+
+def test_batches_follow_the_input():
+    assert [batches_for(n) for n in (0, 100_000, 200_000, 256_410, 15_000_000)] == [2, 2, 3, 4, 10]
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
