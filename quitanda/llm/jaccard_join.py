@@ -8,8 +8,9 @@ for the threshold are skipped, first as whole blocks of entries.
 Every set is first compared with two sets only, those that most often stand before it.  Sets found highly similar
 to a smaller one, their pivot, form its block, and later answers are derived from the
 pivot's: the overlap of two members exceeds the overlap of their pivots by no more than
-what each has beyond its pivot.  Blocks of different components are first compared with a
-few of the others in their lists, which joins fragments of one group in few rounds.  All pairs of
+what each has beyond its pivot.  While lists hold many pairs of blocks of different components,
+rounds compare each block with a few of the others in its lists, which joins fragments of one group;
+they end once few pairs are left or a round no longer halves them.  All pairs of
 blocks that are not yet connected are then compared through their pivots once, and members
 only where that bound leaves the answer open.
 So all links between different components are found, and a group of near copies costs
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.llm.components import components
-from quitanda.llm.frames import durable, keep_rows, release, size_checked
-from quitanda.llm.words import mix, shingle_sets
+from quitanda.llm.frames import Scratch, durable, keep_rows, release, size_checked
+from quitanda.llm.words import mix, shingle_hashes, shingle_sets
 
 SHINGLE_WORDS = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -39,8 +40,8 @@ CELLS = 1 << 16
 SKETCH_CELLS, SKETCH_SIZE = 256, 8192
 #: Sets that each set is compared with first; all others are met through blocks.
 NEIGHBOURS = 2
-#: Rounds that join fragments of one group through a few pairs; pairs that they leave are all compared after them.
-CROSS_ROUNDS = 2
+#: Rounds that join fragments go on while lists hold more open pairs a block than this.
+PAIRS_PER_BLOCK = 4
 #: Lists of shingles this many times as frequent as the mean are dealt out over several tasks.
 HOT = 4
 
@@ -54,29 +55,31 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): size and 128-bit digest of every text's set."""
+    """(doc_id, n_shingles, d1, d2, sketch): size, 128-bit digest and sketch of every text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _slices(batches):
             sums = [[int(f(s).sum(dtype=np.uint64).view(np.int64)) for s in sets] for f in (lambda x: x, lambda x: mix(x + np.uint64(1)))]
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, n, *(pa.array(s, pa.int64()) for s in sums)], ["doc_id", "n_shingles", "d1", "d2"])
+            columns = [ids, n, *(pa.array(s, pa.int64()) for s in sums), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def cell_counts(docs: DataFrame) -> np.ndarray:
-    """Shingles of all texts by the first bits of their hashes."""
+    """Shingles of all texts, repeats included, by the first bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for _, sets in _slices(batches):
-            total += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                total += np.bincount(cell_of(shingle_hashes(batch.slice(start, 256).column(0), SHINGLE_WORDS)), minlength=CELLS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
     counts = np.zeros(CELLS, np.int64)
-    for r in docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
     return counts
 
@@ -143,29 +146,6 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEIGHBOURS).select("a", "b")
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame, encode: Callable[[np.ndarray], bytes], compare: Callable[[bytes, bytes], int]) -> DataFrame:
-    """(a, b, na, nb, overlap) of pairs of ids: `compare` on what `encode` makes of their texts' sets."""
-    pairs = durable(pairs.select("a", "b"))
-    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, sets in _slices(batches):
-            columns = [doc, pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "data"])
-
-    rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, data binary")
-
-    @F.arrow_udf("bigint")
-    def compared(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([compare(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
-
-    of = lambda end: rows.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("data").alias(f"d{end}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", compared("da", "db"))
-    done = durable(both.select("a", "b", "na", "nb", "overlap"))
-    release(docs.sparkSession)
-    return done
-
-
 def sketch(s: np.ndarray) -> bytes:
     """Counts of a set's shingles in cells; nothing for a set too large for bytes."""
     if len(s) > SKETCH_SIZE:
@@ -185,11 +165,34 @@ def common(x: bytes, y: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of pairs of ids; where a bound rules a link out, the bound stands for the overlap."""
-    bounded = with_texts(pairs, docs, sketch, sketch_bound)
+def joined(pairs: DataFrame, rows: DataFrame, compare: Callable[[bytes, bytes], int]) -> DataFrame:
+    """(a, b, na, nb, overlap) of pairs of ids: `compare` on the data of `rows` (sid, n, data)."""
+
+    @F.arrow_udf("bigint")
+    def compared(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([compare(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
+
+    of = lambda end: rows.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("data").alias(f"d{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("overlap", compared("da", "db"))
+    return durable(both.select("a", "b", "na", "nb", "overlap"))
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, na, nb, overlap) of pairs of ids; where sketches rule a link out, their bound stands for the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, sets in _slices(batches):
+            columns = [doc, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "data"])
+
+    bounded = joined(durable(pairs.select("a", "b")), sketches, sketch_bound)
     may = enough(F.col("overlap"), F.col("na") + F.col("nb"))
-    return bounded.filter(~may).unionByName(with_texts(bounded.filter(may), docs, np.ndarray.tobytes, common))
+    left = durable(bounded.filter(may).select("a", "b").distinct())
+    ids = durable(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct())
+    rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, data binary")
+    exact = joined(left, rows, common)
+    release(docs.sparkSession)
+    return bounded.filter(~may).unionByName(exact)
 
 
 def linked(compared: DataFrame) -> DataFrame:
@@ -214,7 +217,7 @@ def blocks_of(lists: DataFrame, members: DataFrame) -> DataFrame:
     blocks = entries.groupBy("token", F.coalesce("pivot", "sid").alias("pivot")).agg(
         F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high")
     )
-    return durable(blocks)
+    return blocks
 
 
 def mixed_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,7 +226,14 @@ def mixed_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.withColumn("part", F.coalesce("part", "pivot"))
     block = F.struct("part", "pivot", "pos", "low", "high")
     ends = known.groupBy("token").agg(F.min(block).alias("x"), F.max(block).alias("y")).filter("x.part <> y.part")
-    return durable(known.join(ends, "token"))
+    return known.join(ends, "token")
+
+
+def many_open(mixed: DataFrame) -> tuple[bool, int]:
+    """Whether lists hold many pairs of blocks of different components, and how many."""
+    lists = mixed.groupBy("token", "part").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") ** 2).alias("own"))
+    total = lists.agg(F.sum("m").alias("m"), F.sum((F.col("m") ** 2 - F.col("own")) / 2).alias("open")).first()
+    return (total["open"] or 0) > PAIRS_PER_BLOCK * (total["m"] or 0), total["open"] or 0
 
 
 def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -288,37 +298,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     empty table gives no rows.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = durable(set_digests(docs))
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.save(set_digests(docs))
     full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("sid"))
-    members = durable(full.join(groups, ["n_shingles", "d1", "d2"]).select("doc_id", "sid"))
+    same = ["n_shingles", "d1", "d2"]
+    groups = full.groupBy(*same).agg(F.min("doc_id").alias("sid"), F.max("doc_id").alias("last")).filter("sid < last").drop("last")
+    members = full.join(size_checked(durable(groups)), same, "left").select("doc_id", F.coalesce("sid", "doc_id").alias("sid"))
+    members = durable(members)
     copies = durable(members.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("sid")).cast("int")).alias("own")).filter("own = 0"))
     single = keep_rows(docs.filter("doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
-    lists = durable(index_lists(postings(single, cell_counts(single))))
+    sketches = keep_rows(full, copies, "doc_id", "left_anti").select(F.col("doc_id").alias("sid"), F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))
+    lists = scratch.save(index_lists(postings(single, cell_counts(single))))
     release(docs.sparkSession)
-    near = linked(overlaps(neighbour_pairs(lists), single))
+    near = linked(overlaps(neighbour_pairs(lists), single, sketches))
     pivots = durable(members_of(near))
     same_id = members.filter("doc_id <> sid").select(F.col("sid").alias("a"), F.col("doc_id").alias("b"))
     repeated = keep_rows(same_id, members.filter("doc_id = sid").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi")
     links = near.select("a", "b").union(repeated.select("a", "b"))
-    blocks, labels = blocks_of(lists, pivots), components(links)
-    for _ in range(CROSS_ROUNDS):
-        found = linked(overlaps(cross_pairs(mixed_blocks(blocks, labels)), single))
+    blocks, labels = scratch.save(blocks_of(lists, pivots)), components(links)
+    mixed = scratch.save(mixed_blocks(blocks, labels))
+    many, pairs = many_open(mixed)
+    while many:
+        found = linked(overlaps(cross_pairs(mixed), single, sketches))
         if found.isEmpty():
             break
         links = durable(links.union(found.select("a", "b")))
         labels = components(links)
-    compared = overlaps(block_pairs(mixed_blocks(blocks, labels)), single)
+        mixed = scratch.save(mixed_blocks(blocks, labels))
+        before, (many, pairs) = pairs, many_open(mixed)
+        many = many and 2 * pairs <= before
+    compared = overlaps(block_pairs(mixed), single, sketches)
     links = durable(links.union(linked(compared).select("a", "b")))
     labels = components(links)
     more = durable(open_pairs(compared, pivots, labels))
     if not more.isEmpty():
-        labels = components(links.union(linked(overlaps(more, single)).select("a", "b")))
+        labels = components(links.union(linked(overlaps(more, single, sketches)).select("a", "b")))
     found = members.join(size_checked(labels.withColumnRenamed("node", "sid")), "sid", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "sid")).alias("component_id"))
-    return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    found = sets.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+    whole = durable(found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    scratch.clear()
+    return whole
 
 
 def op2_near_duplicates(spark, folder: str) -> DataFrame:

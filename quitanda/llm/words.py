@@ -121,3 +121,16 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int = 5) -> Iterator[n
             for k in range(size):
                 total += words[a + k : b - size + 1 + k] * factor[k]
             yield np.unique(mix(total))
+
+
+def shingle_hashes(texts: pa.Array | pa.ChunkedArray, size: int = 5) -> np.ndarray:
+    """Hashes of all word shingles of all texts, repeats included; texts of fewer words than `size` have none."""
+    words, ends = word_hashes(*flat(texts))
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    n = len(words) - size + 1
+    total, factor = np.zeros(n, np.uint64), np.cumprod(np.full(size, STEP, np.uint64), dtype=np.uint64)
+    for k in range(size):
+        total += words[k : n + k] * factor[k]
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    return mix(total[owner[:n] == owner[size - 1 :]])

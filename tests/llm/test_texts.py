@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from quitanda.llm import quality_rules, resample, secret_scan
 from quitanda.llm.components import components
 from quitanda.llm.jaccard_join import near_duplicates
 from quitanda.llm.line_dedup import LineRuns, batches_for, drop_repeated_lines
+from quitanda.llm.words import shingle_hashes, shingle_sets
 from tests.llm.conftest import DOCS, LINE, prose
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,6 +103,14 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_shingle_hashes_are_those_of_the_sets():
+    texts = pa.array([prose(40), None, "too few words", "", "a b c d e a b c d e", "x " * 9])
+    whole = Counter(shingle_hashes(texts, 5).tolist())
+    sets = [s.tolist() for s, t in zip(shingle_sets(texts, 5), texts.to_pylist()) if len((t or "").split()) >= 5]
+    assert set(whole) == {h for s in sets for h in s}
+    assert whole.total() == sum(len(t.split()) - 4 for t in texts.to_pylist() if len((t or "").split()) >= 5)
+
+
 def test_near_duplicates_of_awkward_rows(docs, no_docs):
     out = [tuple(r)[:3] for r in near_duplicates(docs).collect()]
     expected = brute_components([(i, t) for i, t in dict(DOCS).items() if i is not None])
