@@ -167,8 +167,36 @@ def test_neighbours(spark):
 
 def test_walk_goes_by_summed_distance():
     counts = np.ones((3, 3), np.int64)
-    masks = multi_index.walk(np.array([0.0, 1.0, 5.0]), np.array([0.0, 0.5, 9.0]), counts, 4)
-    assert masks.tolist() == [0b011, 0b011, 0]
+    walked = multi_index.walk(np.array([0.0, 1.0, 5.0]), np.array([0.0, 0.5, 9.0]), counts, 4)
+    assert walked.tolist() == [[True, True, False], [True, True, False], [False] * 3]
+
+
+def test_blocks_hold_every_cell_once():
+    counts = np.array([[3, 0, 4], [25, 1, 2], [9, 9, 0]])
+    at = multi_index.layout(counts, 10)
+    assert at.cells.tolist() == [0, 2, 3, 4, 5, 6, 7]
+    assert at.block.tolist() == [0, 0, 1, 4, 4, 5, 6] and at.place.tolist() == [0, 1, 0, 0, 1, 0, 0]
+    assert at.parts.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("share", [0.33, 0.6])
+def test_neighbours_beside_a_dense_group(spark, share):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 32))
+    dense = rng.random(3000) < share
+    vectors[dense] = vectors[0] + 0.02 * rng.normal(size=(dense.sum(), 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1, 0.5) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int, floor double").repartition(4)
+    out = multi_index.search(frame, F.col("vec_id") % 20 == 0, block_rows=500, seed=8).collect()
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -np.inf)
+    recall = {True: [], False: []}
+    for q in range(0, 3000, 20):
+        mine = {r["vec_id"] for r in out if r["query_id"] == q}
+        recall[bool(dense[q])].append(len(mine & set(np.argsort(-scores[q])[:20].tolist())) / 20)
+    assert min(np.mean(recall[True]), np.mean(recall[False])) >= 0.9, {k: np.mean(v) for k, v in recall.items()}
+    assert min(recall[False]) >= 0.5
 
 
 def test_prose_has_no_long_repeats():
