@@ -111,8 +111,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     """Count both multinomials over all of `docs` and find the threshold on its labelled rows."""
     rows = trusted_rows(docs.select(doc_id, text), labels, doc_id).withColumn("_trusted", F.col("_quality") == 1)
     ratios = log_ratios(gram_counts(rows, text, "_trusted", byte_grams))
-    judged = noted(rows.filter(F.col("_quality").isin(0, 1)), ratios, text).filter(~F.col("base_failed"))
-    step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-EDGE)), F.lit(EDGE)) * STEPS).cast("int")
+    judged = noted(rows.filter(F.col("_quality").isin(0, 1)), ratios, text)
+    # Not a filter: Spark would push it down with a second run of the Python function beside the first.
+    within = F.when(~F.col("base_failed"), F.least(F.greatest(F.col("score"), F.lit(-EDGE)), F.lit(EDGE)))
+    step = F.floor(within * STEPS).cast("int")
     counts = judged.groupBy(step.alias("step"), F.col("_quality").cast("int").alias("quality")).count().collect()
     return QualityModel(ratios, best_threshold({(r["step"], r["quality"]): r["count"] for r in counts if r["step"] is not None}))
 
