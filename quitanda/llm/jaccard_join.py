@@ -190,7 +190,10 @@ def overlaps(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
     left = durable(bounded.filter(may).select("a", "b").distinct())
     ids = durable(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct())
     rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, data binary")
-    exact = joined(left, rows, common)
+    # Written, since both ends of the pairs read them: texts are hashed once, and no task runs several Python functions.
+    scratch = Scratch(docs.sparkSession)
+    exact = joined(left, scratch.save(rows), common)
+    scratch.clear()
     release(docs.sparkSession)
     return bounded.filter(~may).unionByName(exact)
 
