@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from quitanda.llm import quality_rules, resample, secret_scan
 from quitanda.llm.components import components
 from quitanda.llm.jaccard_join import near_duplicates
 from quitanda.llm.line_dedup import LineRuns, batches_for, drop_repeated_lines
-from quitanda.llm.words import shingle_hashes, shingle_sets
+from quitanda.llm.words import LOWER_CODES, STEP, shingle_hashes, shingle_sets
 from tests.llm.conftest import DOCS, LINE, prose
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -169,6 +170,46 @@ def test_quality_counts_and_verdicts(docs, labels, no_docs):
     assert empty.count() == 0
 
 
+def brute_grams(text):
+    codes, step, out = [int(c) for c in LOWER_CODES], int(STEP), []
+    raw = [codes[b] for b in (text or "").encode()]
+    for window in zip(raw, raw[1:], raw[2:], raw[3:], strict=False):
+        total = 0
+        for code in window:
+            total = (total * step + code) % (1 << 64)
+        out.append(total >> 48)
+    return out
+
+
+def test_scores_and_threshold_equal_brute_force(spark):
+    rows = [(i, t) for i, t in DOCS if i != 30]
+    quality = {i: 1 for i in range(20, 26)} | {1: 0, 2: 0, 8: 1, 40: 0}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = quality_rules.fit_quality(frame, spark.createDataFrame([*quality.items()], "doc_id long, quality int"))
+    out = quality_rules.apply_quality(frame, model).collect()
+    grams = [brute_grams(t) for _, t in rows]
+    raw = Counter(g for found in grams for g in found)
+    target = Counter(g for (i, _), found in zip(rows, grams, strict=True) if quality.get(i) == 1 for g in found)
+    size, unit = 1 << 16, 1 << 16
+    shares = math.log(target.total() + size) - math.log(raw.total() + size)
+    ratio = {g: round((math.log((target[g] + 1) / (raw[g] + 1)) - shares) * unit) for g in raw}
+    scores = [sum(ratio[g] for g in found) / len(found) / unit if found else None for found in grams]
+    mine = sorted((r["doc_id"] or -1, r["text"] or "", r["score"] or 0.0) for r in out)
+    theirs = sorted((i or -1, t or "", x or 0.0) for (i, t), x in zip(rows, scores, strict=True))
+    assert [r[:2] for r in mine] == [r[:2] for r in theirs]
+    assert [r[2] for r in mine] == pytest.approx([r[2] for r in theirs], abs=1e-4)
+    failed = lambda n: n[0] < 50 or 100 * n[4] > 50 * n[0]
+    judged = [(quality[i], math.floor(x * 200)) for (i, t), x in zip(rows, scores, strict=True) if i in quality and not failed(brute_notes(t))]
+    good, bad = ([x for q, x in judged if q == kind] for kind in (1, 0))
+    assert good and bad
+    gains = {t: round(sum(x < t for x in bad) / len(bad) - sum(x < t for x in good) / len(good), 9) for t in range(-2000, 2001)}
+    best = [t for t, gain in gains.items() if gain == max(gains.values())]
+    assert model.threshold == (best[0] + best[-1]) / 2 / 200
+    verdicts = {(i, t): not failed(brute_notes(t)) and (x is None or x >= model.threshold) for (i, t), x in zip(rows, scores, strict=True)}
+    assert all(r["kept"] == verdicts[r["doc_id"], r["text"]] for r in out)
+    assert {True, False} == {r["kept"] for r in out if not r["base_failed"]}
+
+
 def test_threshold_lies_between_the_classes():
     assert quality_rules.best_threshold({(-100, 0): 5, (-50, 0): 1, (20, 1): 9, (40, 1): 2}) == pytest.approx((-49 + 20) / 2 / 200)
     assert quality_rules.best_threshold({(3, 1): 1}) == -quality_rules.EDGE
