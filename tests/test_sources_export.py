@@ -194,3 +194,17 @@ def test_job_writes_every_file(spark, csv_folder, tmp_path, monkeypatch):
 def test_job_reports_failure(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(job, "build_session", lambda: spark)
     assert job.main(["--input", str(tmp_path), "--store", str(tmp_path / "s"), "--output", str(tmp_path / "o")]) == 1
+
+
+def test_header_needs_no_records(spark, tmp_path, monkeypatch):
+    """Names come from the files' first lines; records are put together only for a header of several lines."""
+    for name, head in (("a", "x,y"), ("b", "x,y\r")):
+        (tmp_path / f"{name}.csv").write_bytes(f'{head}\n1,"two\nlines"\n'.encode())
+    (tmp_path / "long.csv").write_bytes(b'x,"y\nz"\n1,2\n')
+    whole = quoted_csv.records
+    assert [r["y\nz"] for r in quoted_csv.read_quoted(spark, [str(tmp_path / "long.csv")], csv_tables.OPTIONS).collect()] == ["2"]
+    monkeypatch.setattr(quoted_csv, "records", lambda *a: whole(*a).filter(F.raise_error(F.lit("read")).isNull()))
+    assert quoted_csv.read_quoted(spark, [str(tmp_path / f"{n}.csv") for n in "ab"], csv_tables.OPTIONS).columns == ["x", "y"]
+    with pytest.raises(ValueError, match="differ"):
+        (tmp_path / "c.csv").write_text("x,z\n1,2\n")
+        quoted_csv.read_quoted(spark, [str(tmp_path / f"{n}.csv") for n in "ac"], csv_tables.OPTIONS)
