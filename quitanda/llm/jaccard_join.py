@@ -3,7 +3,8 @@
 Texts with equal sets are one set.  Every set is indexed under its rarest shingles, so
 that two sets within the threshold share one of them (prefix filter).  An index list
 keeps size and position of each entry; entries whose positions leave too few shingles
-for the threshold are skipped, first as whole blocks of entries.
+for the threshold are skipped, first as whole blocks of entries.  Entries that no other one of
+their list may reach, by sizes and positions, leave the index.
 
 Every set is first compared with two sets only, those that most often stand before it.  Sets found highly similar
 to a smaller one, their pivot, form its block, and later answers are derived from the
@@ -12,7 +13,9 @@ what each has beyond its pivot.  While lists hold many pairs of blocks of differ
 rounds compare each block with a few of the others in its lists, which joins fragments of one group;
 they end once few pairs are left or a round no longer halves them.  All pairs of
 blocks that are not yet connected are then compared through their pivots once, and members
-only where that bound leaves the answer open.
+only where that bound leaves the answer open.  Every set has a bitmap with the parity of its shingles
+by cell: as many bits as differ between two, so many shingles at least are in one set only.  Pairs that this
+rules out are met inside the joins alone, where only blocks outside a list's largest component look for others.
 So all links between different components are found, and a group of near copies costs
 about as much as its index lists are long.
 
@@ -29,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quitanda.llm.components import components
-from quitanda.llm.frames import Scratch, durable, keep_rows, release, size_checked
+from quitanda.llm.frames import Scratch, durable, given_back, keep_rows, release, size_checked
 from quitanda.llm.words import mix, shingle_hashes, shingle_sets
 
 SHINGLE_WORDS = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
 CELLS = 1 << 16
-#: Cells of a set's sketch, and the largest set that one byte a cell is enough for.
-SKETCH_CELLS, SKETCH_SIZE = 256, 8192
+#: Fewest cells of a set's sketch, and the shingles a cell from which on a set has twice as many.
+SKETCH_CELLS, SKETCH_FILL = 256, 4
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 8
 #: Sets that each set is compared with first; all others are met through blocks.
 NEIGHBOURS = 2
 #: Rounds that join fragments go on while lists hold more open pairs a block than this.
@@ -55,16 +60,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketch): size, 128-bit digest and sketch of every text's set."""
+    """(doc_id, n_shingles, d1, d2, sketch, bits): size, 128-bit digest, sketch and bitmap of every text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _slices(batches):
             sums = [[int(f(s).sum(dtype=np.uint64).view(np.int64)) for s in sets] for f in (lambda x: x, lambda x: mix(x + np.uint64(1)))]
             n = pa.array([len(s) for s in sets], pa.int64())
-            columns = [ids, n, *(pa.array(s, pa.int64()) for s in sums), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+            words = np.stack([bitmap(s) for s in sets]).T
+            bits = pa.StructArray.from_arrays([pa.array(w) for w in words], [f"w{i}" for i in range(BITMAP)])
+            columns = [ids, n, *(pa.array(s, pa.int64()) for s in sums), pa.array([sketch(s) for s in sets], pa.binary()), bits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sketch", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+    bits = ", ".join(f"w{i}: long" for i in range(BITMAP))
+    return docs.mapInArrow(given_back(run), f"doc_id long, n_shingles long, d1 long, d2 long, sketch binary, bits struct<{bits}>")
 
 
 def cell_counts(docs: DataFrame) -> np.ndarray:
@@ -79,7 +87,7 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
     counts = np.zeros(CELLS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(given_back(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
     return counts
 
@@ -109,7 +117,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             packed = (np.repeat(sizes, prefix) << 36) | (pos << 8) | salt
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token.view(np.int64), sid, packed)], ["token", "sid", "packed"])
 
-    rows = docs.mapInArrow(run, "token long, sid long, packed long").repartition("token", F.col("packed").bitwiseAND(F.lit(255)))
+    rows = docs.mapInArrow(given_back(run), "token long, sid long, packed long").repartition("token", F.col("packed").bitwiseAND(F.lit(255)))
     part = lambda shift, bits: F.shiftright("packed", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     return rows.select("token", F.col("packed").bitwiseAND(F.lit(255)).alias("salt"), "sid", part(36, 28).alias("size"), part(8, 28).alias("pos"))
 
@@ -120,17 +128,24 @@ def enough(overlap: Column, sizes: Column) -> Column:
 
 
 def index_lists(found: DataFrame) -> DataFrame:
-    """Entries that share a list with others, with `first` and `prev`, the first entry and the one before."""
+    """Entries that may link with others of their list, with `first` and `prev`, the first entry and the one before.
+
+    By its position an entry reaches sets of a certain size at most.  One that stays has a next one within its reach,
+    or one before it that is large enough and one before it that reaches as far.
+    """
     order = Window.partitionBy("token", "salt").orderBy("size", "sid")
     entry = F.struct("size", "sid", "pos")
+    reach = F.floor((F.col("size") - F.col("pos")) * (100 + PERCENT) / PERCENT) - F.col("size")
     rows = found.withColumns(
         {
             "prev": F.lag(entry).over(order),
             "first": F.first(entry).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "more": F.lead("sid").over(order).isNotNull(),
+            "after": F.lead("size").over(order),
+            "reached": F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
-    return rows.filter("prev IS NOT NULL OR more OR salt > 0").drop("more")
+    smaller = (F.col("prev.size") * 100 >= F.col("size") * PERCENT) & (F.col("reached") >= F.col("size"))
+    return rows.filter(smaller | (F.col("after") <= reach) | (F.col("salt") > 0)).drop("after", "reached")
 
 
 def neighbour_pairs(lists: DataFrame) -> DataFrame:
@@ -147,18 +162,31 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in cells; nothing for a set too large for bytes."""
-    if len(s) > SKETCH_SIZE:
-        return b""
-    counts = np.bincount((s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    """Counts of a set's shingles in cells, whose number grows with the set; nothing if one does not fit a byte."""
+    cells = max(SKETCH_CELLS, 1 << (len(s) // SKETCH_FILL).bit_length())
+    counts = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def sketch_bound(x: bytes, y: bytes) -> int:
-    """No less than the overlap of two sets: cell by cell they share the smaller count at most."""
+    """No less than the overlap of two sets: cell by cell, of the smaller number of cells, they share the smaller count at most."""
     if not x or not y:
         return 1 << 40
-    return int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+    cells = min(len(x), len(y))
+    return int(np.minimum(*(np.frombuffer(z, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int64) for z in (x, y))).sum())
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of a set's shingles in each of 64 * BITMAP cells."""
+    cells = ((s >> np.uint64(8)) % np.uint64(64 * BITMAP)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=64 * BITMAP) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def bitmap_bound(sizes: Column, x: Column, y: Column) -> Column:
+    """No less than the overlap of two sets of these sizes together: bits that differ are shingles of one of them."""
+    apart = sum((F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"])) for i in range(BITMAP)), F.lit(0))
+    return (sizes - apart) / 2
 
 
 def common(x: bytes, y: bytes) -> int:
@@ -185,11 +213,13 @@ def overlaps(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
             columns = [doc, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "data"])
 
-    bounded = joined(durable(pairs.select("a", "b")), sketches, sketch_bound)
+    pairs = durable(pairs.select("a", "b"))
+    met = durable(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    bounded = joined(pairs, keep_rows(sketches, met, "sid", "left_semi"), sketch_bound)
     may = enough(F.col("overlap"), F.col("na") + F.col("nb"))
     left = durable(bounded.filter(may).select("a", "b").distinct())
     ids = durable(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct())
-    rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, data binary")
+    rows = keep_rows(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(given_back(run), "sid long, n long, data binary")
     # Written, since both ends of the pairs read them: texts are hashed once, and no task runs several Python functions.
     scratch = Scratch(docs.sparkSession)
     exact = joined(left, scratch.save(rows), common)
@@ -224,19 +254,27 @@ def blocks_of(lists: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def mixed_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of lists that hold several components, with their component `part` and each list's outermost blocks `x` and `y`."""
+    """Blocks of lists that hold several components, with their component `part` and for each list its outermost blocks `x` and `y`,
+    its largest component `main`, its number of blocks `m` and how many pairs of blocks of different components it has, `open`."""
     known = blocks.join(size_checked(labels.select(F.col("node").alias("pivot"), F.col("component").alias("part"))), "pivot", "left")
     known = known.withColumn("part", F.coalesce("part", "pivot"))
     block = F.struct("part", "pivot", "pos", "low", "high")
-    ends = known.groupBy("token").agg(F.min(block).alias("x"), F.max(block).alias("y")).filter("x.part <> y.part")
-    return known.join(ends, "token")
-
-
-def many_open(mixed: DataFrame) -> tuple[bool, int]:
+    parts = known.groupBy("token", "part").agg(F.min(block).alias("x"), F.max(block).alias("y"), F.count("*").alias("c")).groupBy("token")
+    lists = parts.agg(
+        F.min("x").alias("x"),
+        F.max("y").alias("y"),
+        F.max(F.struct("c", "part")).alias("main"),
+        F.sum("c").alias("m"),
+        F.sum(F.col("c") ** 2).alias("own"),
+    ).filter("x.part <> y.part")
+    open_ = ((F.col("m") ** 2 - F.col("own")) / 2).alias("open")
+    return known.join(lists.select("token", "x", "y", F.col("main.part").alias("main"), "m", open_), "token")
+
+
+def many_open(mixed: DataFrame) -> tuple[bool, float]:
     """Whether lists hold many pairs of blocks of different components, and how many."""
-    lists = mixed.groupBy("token", "part").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") ** 2).alias("own"))
-    total = lists.agg(F.sum("m").alias("m"), F.sum((F.col("m") ** 2 - F.col("own")) / 2).alias("open")).first()
-    return (total["open"] or 0) > PAIRS_PER_BLOCK * (total["m"] or 0), total["open"] or 0
+    total = mixed.agg(F.count("*").alias("m"), F.sum(F.col("open") / F.col("m")).alias("open")).first()
+    return (total["open"] or 0) > PAIRS_PER_BLOCK * total["m"], total["open"] or 0
 
 
 def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -257,37 +295,53 @@ def cross_pairs(mixed: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def block_pairs(mixed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of pivots whose blocks share a list, belong to two components and may hold a link."""
-    x, y = mixed.alias("l"), mixed.alias("r")
-    of = lambda side: lambda c: F.col(f"{side}.{c}")
-    may = (F.col("l.token") == F.col("r.token")) & (F.col("l.pivot") < F.col("r.pivot")) & may_link(of("l"), of("r"))
-    return x.join(y, may).select(F.col("l.pivot").alias("a"), F.col("r.pivot").alias("b")).distinct()
+def pivot_facts(sketches: DataFrame, members: DataFrame) -> DataFrame:
+    """(pivot, n, bits, least, most): a set's size and bitmap, the smallest size in its block and the most that one of it has beyond the pivot."""
+    blocks = members.groupBy("pivot").agg(F.min("size").alias("least"), F.max("extra").alias("most"))
+    rows = sketches.select(F.col("sid").alias("pivot"), "n", "bits").join(size_checked(durable(blocks)), "pivot", "left")
+    return rows.withColumns({"least": F.least("n", "least"), "most": F.coalesce("most", F.lit(0))})
 
 
-def open_pairs(compared: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of compared, unlinked pivots for which the derived bound leaves a link possible."""
-    blocks = members.groupBy("pivot").agg(F.min("size").alias("low"), F.max("extra").alias("most"))
+def block_pairs(mixed: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of pivots whose blocks share a list, belong to two components and may hold a link.
+
+    One of the two blocks is outside the list's largest component.
+    """
+    columns = ["token", "pivot", "part", "main", "pos", "low", "high"]
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    l, r = of("l"), of("r")
+    known = facts.select("pivot", "n", "bits", "most")
+    x = mixed.filter("part <> main").select(columns).join(known, "pivot").alias("l")
+    y = mixed.select(columns).join(known, "pivot").alias("r")
+    once = (r("part") == r("main")) | (l("pivot") < r("pivot"))
+    bound = bitmap_bound(l("n") + r("n"), l("bits"), r("bits")) + l("most") + r("most")
+    may = (l("token") == r("token")) & once & may_link(l, r) & enough(bound, l("low") + r("low"))
+    return x.join(y, may).select(F.least(l("pivot"), r("pivot")).alias("a"), F.greatest(l("pivot"), r("pivot")).alias("b")).distinct()
+
+
+def open_pairs(compared: DataFrame, members: DataFrame, labels: DataFrame, facts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of members of compared, unlinked pivots for which the derived bound and the bitmaps leave a link possible."""
     part = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
     rows = compared.filter(~enough(F.col("overlap"), F.col("na") + F.col("nb")))
     for end in ("a", "b"):
-        stats = blocks.select(F.col("pivot").alias(end), F.col("low").alias(f"low_{end}"), F.col("most").alias(f"most_{end}"))
-        rows = rows.join(stats, end, "left").join(part(end), end, "left")
-        rows = rows.withColumns(
-            {
-                f"low_{end}": F.least(F.col(f"n{end}"), F.col(f"low_{end}")),
-                f"most_{end}": F.coalesce(f"most_{end}", F.lit(0)),
-                f"part_{end}": F.coalesce(f"part_{end}", end),
-            }
-        )
+        stats = facts.select(F.col("pivot").alias(end), F.col("least").alias(f"low_{end}"), F.col("most").alias(f"most_{end}"), F.col("bits").alias(f"bits_{end}"))
+        rows = rows.join(part(end), end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+        rows = rows.join(stats, end)
     rows = rows.filter("part_a <> part_b AND (most_a > 0 OR most_b > 0)")
     rows = durable(rows.filter(enough(F.col("overlap") + F.col("most_a") + F.col("most_b"), F.col("low_a") + F.col("low_b"))))
     own = rows.select(F.col("a").alias("sid"), F.col("na").alias("size")).union(rows.select("b", "nb")).distinct()
     whole = members.select("sid", "pivot", "size", "extra").unionByName(own.select("sid", F.col("sid").alias("pivot"), "size", F.lit(0).cast("long").alias("extra")))
-    end = lambda e: whole.select(F.col("pivot").alias(e), F.col("sid").alias(f"s{e}"), F.col("size").alias(f"z{e}"), F.col("extra").alias(f"e{e}"))
-    rows = rows.join(end("a"), "a").filter(enough(F.col("overlap") + F.col("ea") + F.col("most_b"), F.col("za") + F.col("low_b")))
-    rows = rows.join(end("b"), "b").filter(enough(F.col("overlap") + F.col("ea") + F.col("eb"), F.col("za") + F.col("zb")))
-    rows = rows.filter("za * 100 >= zb * 75 AND zb * 100 >= za * 75 AND (sa <> a OR sb <> b)".replace("75", str(PERCENT)))
+    whole = durable(whole.join(own.select(F.col("sid").alias("pivot")), "pivot", "left_semi"))
+    whole = durable(whole.join(sketches.select("sid", "bits"), "sid"))
+    end = lambda e: whole.select(F.col("pivot").alias(e), *(F.col(c).alias(f"{n}{e}") for c, n in (("sid", "s"), ("size", "z"), ("extra", "e"), ("bits", "w"))))
+    may = enough(F.col("overlap") + F.col("ea") + F.col("most_b"), F.col("za") + F.col("low_b"))
+    may &= enough(bitmap_bound(F.col("za") + F.col("nb"), F.col("wa"), F.col("bits_b")) + F.col("most_b"), F.col("za") + F.col("low_b"))
+    rows = rows.join(end("a"), "a").filter(may)
+    may = enough(F.col("overlap") + F.col("ea") + F.col("eb"), F.col("za") + F.col("zb"))
+    may &= enough(bitmap_bound(F.col("za") + F.col("zb"), F.col("wa"), F.col("wb")), F.col("za") + F.col("zb"))
+    may &= enough(bitmap_bound(F.col("na") + F.col("zb"), F.col("bits_a"), F.col("wb")) + F.col("ea"), F.col("za") + F.col("zb"))
+    sizes = (F.col("za") * 100 >= F.col("zb") * PERCENT) & (F.col("zb") * 100 >= F.col("za") * PERCENT)
+    rows = rows.join(end("b"), "b").filter(may & sizes & ((F.col("sa") != F.col("a")) | (F.col("sb") != F.col("b"))))
     return rows.select(F.col("sa").alias("a"), F.col("sb").alias("b")).distinct()
 
 
@@ -310,7 +364,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = durable(members)
     copies = durable(members.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("sid")).cast("int")).alias("own")).filter("own = 0"))
     single = keep_rows(docs.filter("doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
-    sketches = keep_rows(full, copies, "doc_id", "left_anti").select(F.col("doc_id").alias("sid"), F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))
+    sketches = keep_rows(full, copies, "doc_id", "left_anti").select(F.col("doc_id").alias("sid"), F.col("n_shingles").alias("n"), F.col("sketch").alias("data"), "bits")
     lists = scratch.save(index_lists(postings(single, cell_counts(single))))
     release(docs.sparkSession)
     near = linked(overlaps(neighbour_pairs(lists), single, sketches))
@@ -330,10 +384,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         mixed = scratch.save(mixed_blocks(blocks, labels))
         before, (many, pairs) = pairs, many_open(mixed)
         many = many and 2 * pairs <= before
-    compared = overlaps(block_pairs(mixed), single, sketches)
+    facts = pivot_facts(sketches, pivots)
+    compared = overlaps(block_pairs(mixed, facts), single, sketches)
     links = durable(links.union(linked(compared).select("a", "b")))
     labels = components(links)
-    more = durable(open_pairs(compared, pivots, labels))
+    more = durable(open_pairs(compared, pivots, labels, facts, sketches))
     if not more.isEmpty():
         labels = components(links.union(linked(overlaps(more, single, sketches)).select("a", "b")))
     found = members.join(size_checked(labels.withColumnRenamed("node", "sid")), "sid", "left")

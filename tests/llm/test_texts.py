@@ -7,11 +7,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quitanda.llm import quality_rules, resample, secret_scan
+from quitanda.llm import jaccard_join, quality_rules, resample, secret_scan
 from quitanda.llm.components import components
 from quitanda.llm.jaccard_join import near_duplicates
 from quitanda.llm.line_dedup import LineRuns, batches_for, drop_repeated_lines
@@ -135,6 +136,59 @@ def test_near_duplicates_of_edited_groups(spark):
     assert {r[0]: (r[1], r[2]) for r in near_duplicates(frame).collect()} == brute_components(rows)
 
 
+def test_members_too_far_apart_are_no_pairs(spark, monkeypatch):
+    rng, rows, met = random.Random(9), [], []
+    base = prose(160, 3).split()
+    for n in range(240):
+        words = list(base)
+        for place in rng.sample(range(160), 2 if n < 160 else 5 + n % 3):
+            words[place] = f"edit{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    whole = jaccard_join.joined
+
+    def counted(pairs, sets, compare):
+        met.append(pairs.count())
+        return whole(pairs, sets, compare)
+
+    monkeypatch.setattr(jaccard_join, "joined", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r[0]: (r[1], r[2]) for r in near_duplicates(frame).collect()} == brute_components(rows)
+    assert sum(met) <= 12 * len(rows)
+
+
+def test_bitmaps_bound_the_overlap(spark):
+    rng, rows = random.Random(4), []
+    for size in (0, 1, 30, 200, 900, 5000):
+        x = {rng.randrange(1 << 64) for _ in range(size)}
+        y = set(rng.sample(sorted(x), size - size // 6)) | {rng.randrange(1 << 64) for _ in range(size // 9)}
+        words = [{f"w{i}": int(w) for i, w in enumerate(jaccard_join.bitmap(np.array(sorted(s), np.uint64)))} for s in (x, y)]
+        rows.append((len(x) + len(y), len(x & y), *words))
+    bits = f"struct<{', '.join(f'w{i}: long' for i in range(jaccard_join.BITMAP))}>"
+    frame = spark.createDataFrame(rows, f"n long, shared long, x {bits}, y {bits}")
+    found = frame.select("n", "shared", jaccard_join.bitmap_bound(F.col("n"), F.col("x"), F.col("y")).alias("most")).collect()
+    assert all(r["shared"] <= r["most"] <= r["n"] / 2 for r in found)
+    assert all(r["most"] < r["shared"] + 5 for r in found if r["n"] < 400)
+
+
+def test_sketches_tell_large_sets_apart():
+    draw = np.random.default_rng(6)
+    for n, m in ((0, 3), (700, 800), (1020, 1030), (5000, 6000), (9000, 9500), (40_000, 50_000)):
+        x, y = (np.unique(draw.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        assert 175 * jaccard_join.sketch_bound(jaccard_join.sketch(x), jaccard_join.sketch(y)) < 75 * (n + m)
+        y[: n // 2] = x[: n // 2]
+        assert n // 2 <= jaccard_join.sketch_bound(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= n
+        assert jaccard_join.sketch_bound(jaccard_join.sketch(x), jaccard_join.sketch(x)) == n
+
+
+def test_index_keeps_entries_that_reach_another(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), 0, sid, size, rng.randrange(size // 4 + 1)) for sid in range(400) for size in [rng.randint(4, 90)]]
+    kept = {tuple(r)[:5] for r in jaccard_join.index_lists(spark.createDataFrame(rows, "token long, salt int, sid long, size int, pos int")).collect()}
+    near = lambda x, y: x[0] == y[0] and x[2] != y[2] and 175 * min(x[3] - x[4], y[3] - y[4]) >= 75 * (x[3] + y[3])
+    linked = {x for x in rows if any(near(x, y) for y in rows)}
+    assert linked <= kept and len(kept) < 0.9 * len(rows)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(201)}
