@@ -54,3 +54,13 @@ def test_running_sums(skewed):
     assert {r["id"]: r["before_x"] for r in found.collect()} == expected
 
 
+
+
+def test_columns_for_the_order_alone_are_not_kept(skewed, monkeypatch):
+    """Ranks are the same without the sorted column, and the kept rows have none of it."""
+    kept, keep = [], R.durable
+    monkeypatch.setattr(R, "durable", lambda df: kept.append(df.columns) or keep(df))
+    keyed = skewed.withColumn("key", F.md5(F.col("id").cast("string")))
+    whole, lean = R.row_numbers(keyed, ["key"], ["grp"]), R.row_numbers(keyed, ["key"], ["grp"], drop=["key"])
+    assert sorted(whole.drop("key").collect()) == sorted(lean.collect())
+    assert "key" in kept[0] and "key" not in kept[2] and "key" not in lean.columns

@@ -1,6 +1,7 @@
 """Hot keys and plans: results stay right and no plan gathers or multiplies rows."""
 
 import random
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quitanda.functions import skew
 from quitanda.operators import cohort, geo, quality, reviews, rfm, season
+from quitanda.plans import export
+from quitanda.session import sweep
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +193,33 @@ def test_scans_read_few_columns_and_filter_early(spark):
     assert "l_shipdate" not in plan and "o_totalprice" not in plan
     plan = QUERIES["nps"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "documents" not in plan and "ReadSchema: struct<o_orderpriority:string>" in plan
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_sweep_deletes_shuffles_that_nobody_holds(spark):
+    def left(files):
+        until = time.time() + 30
+        while files & _shuffle_files(spark) and time.time() < until:
+            sweep(spark)
+            time.sleep(0.5)
+        return files & _shuffle_files(spark)
+
+    before = _shuffle_files(spark)
+    rows = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count()
+    assert rows.count() == 100
+    new = _shuffle_files(spark) - before
+    assert new
+    del rows
+    assert not left(new)
+
+
+def test_every_exported_file_is_followed_by_a_sweep(spark, tmp_path, monkeypatch):
+    swept = []
+    monkeypatch.setattr(export, "sweep", lambda spark: swept.append(len(list(tmp_path.glob("*.json")))))
+    rows = spark.createDataFrame([("delivered", 1, 100.0)], "status STRING, contagem LONG, percentual DOUBLE")
+    assert export.export_results(spark, {"funil_status": rows, "funil_conversao": rows}, str(tmp_path)) == ["01_funil_status.json", "01_funil_conversao.json"]
+    assert swept == [1, 2]
